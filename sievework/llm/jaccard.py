@@ -31,6 +31,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textbits as tb
@@ -41,6 +42,8 @@ PERCENT = 80
 KEYS, ROWS_PER_KEY = 4, 2
 GROUP_DOCS, GROUP_TOKENS = 16, 30_000
 SAMPLE_ONE_IN = 32
+#: Ids that may be broadcast to pick texts (8 MB); beyond it the join is shuffled.
+BROADCAST_IDS = 500_000
 COMMON_FROM = 3
 _SALTS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344], np.uint64)
 _TURNS = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, (KEYS * ROWS_PER_KEY, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -74,20 +77,21 @@ def profiles(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_profiles, "doc_id long, n long, d1 long, d2 long, keys array<long>")
 
 
-def _sampled(batches):
-    """The sets of every 32nd digest."""
+def _sets(batches):
+    """Digest and tokens of each set."""
     for batch in batches:
         ones, sets = [], []
         for part in tb.parts(batch.column(0)):
             for u in part.shingle_sets():
-                if len(u) and (d := _digest(u)[0]) % SAMPLE_ONE_IN == 0:
-                    ones.append(d), sets.append(tb.signed(u))
+                if len(u):
+                    ones.append(_digest(u)[0]), sets.append(tb.signed(u))
         yield pa.RecordBatch.from_arrays([pa.array(tb.signed(np.array(ones, np.uint64))), pa.array(sets, pa.list_(pa.int64()))], names=["d1", "tokens"])
 
 
 def common_tokens(docs: DataFrame) -> np.ndarray:
-    """A bitmap (at most 16 MB) of the tokens that several sampled sets hold."""
-    sets = docs.select("text").mapInArrow(_sampled, "d1 long, tokens array<long>").dropDuplicates(["d1"])
+    """A bitmap (at most 16 MB) of the tokens that several sets among those of every 32nd text (by its hash) hold."""
+    sampled = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE_ONE_IN)) == 0)
+    sets = sampled.mapInArrow(_sets, "d1 long, tokens array<long>").dropDuplicates(["d1"])
     often = cut(sets.select(F.explode("tokens").alias("t")).groupBy("t").count().filter(F.col("count") >= COMMON_FROM).select("t"))
     bits = min(27, max(16, (16 * often.count()).bit_length()))
     at = F.shiftrightunsigned("t", 64 - bits)
@@ -159,6 +163,13 @@ def _open_groups(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of the documents in ``ids`` (doc_id). Few ids are broadcast, so that only their texts move."""
+    if ids.count() <= BROADCAST_IDS:
+        return docs.join(F.broadcast(ids), "doc_id", "left_semi")
+    return docs.join(ids, "doc_id", "left_semi")
+
+
 def _leader_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """Checked links (a, b), b the smallest representative that shares a key with a and may link by its size."""
     keyed = reps.select("doc_id", "n", F.explode("keys").alias("k"))
@@ -170,7 +181,7 @@ def _leader_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
         .distinct()
     )
     pairs = cut(pairs)
-    texts = docs.select("doc_id", "text")
+    texts = _texts(docs, cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()))
     both = (
         pairs.join(texts.withColumnsRenamed({"doc_id": "a", "text": "ta"}), "a")
         .join(texts.withColumnsRenamed({"doc_id": "b", "text": "tb"}), "b")
@@ -189,9 +200,9 @@ def _cross_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
         .mapInArrow(_prefixes(common_tokens(docs)), "d1 long, n int, tokens array<long>")
         .select("d1", "n", F.posexplode("tokens").alias("pos", "t"))
     )
-    rows = rows.repartition("t").dropDuplicates(["t", "d1"])
-    shared = rows.groupBy("t").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).filter("lo != hi").select("t")
-    rows = rows.join(shared, "t", "left_semi").join(grouped.select("d1", "cluster", "bin"), "d1")
+    of_token = W.partitionBy("t")  # the one exchange of all prefixes: tokens that a single set holds end here
+    rows = rows.withColumns({"lo": F.min("d1").over(of_token), "hi": F.max("d1").over(of_token)}).filter("lo != hi").drop("lo", "hi")
+    rows = rows.dropDuplicates(["t", "d1"]).join(grouped.select("d1", "cluster", "bin"), "d1")
     matrix = rows.groupBy("t", "cluster", "bin").agg(
         F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("pos")).alias("left")
     )
@@ -210,8 +221,8 @@ def _cross_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     wanted = pairs.select(F.col("cluster_x").alias("cluster"), F.col("bin_x").alias("bin")).unionByName(
         pairs.select(F.col("cluster_y").alias("cluster"), F.col("bin_y").alias("bin"))
     )
-    members = grouped.join(wanted.distinct(), ["cluster", "bin"], "left_semi").select("doc_id", "cluster", "bin")
-    texts = members.join(docs.select("doc_id", "text"), "doc_id").groupBy("cluster", "bin").agg(F.collect_list("text").alias("texts"))
+    members = cut(grouped.join(wanted.distinct(), ["cluster", "bin"], "left_semi").select("doc_id", "cluster", "bin"))
+    texts = members.join(_texts(docs, members.select("doc_id")), "doc_id").groupBy("cluster", "bin").agg(F.collect_list("text").alias("texts"))
     a, b = (texts.select(*(F.col(c).alias(f"{c}_{s}") for c in texts.columns)) for s in "xy")
     both = pairs.join(a, ["cluster_x", "bin_x"]).join(b, ["cluster_y", "bin_y"]).select("cluster_x", "cluster_y", "texts_x", "texts_y")
     return cut(both.mapInArrow(_open_groups, "a long, b long").distinct())
