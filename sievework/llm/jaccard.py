@@ -15,10 +15,10 @@ Jaccard similarity of at least 0.8, and their connected components.
    and go. Prefixes take rare tokens first; which are common is read off a
    hashed sample of the sets as a bitmap of bounded size. Any order gives the
    same links, so the sample decides on cost alone.
-4. *Bound.* Two groups of different clusters that meet in a token stay only if
-   sizes and the tokens left from there allow the overlap; then each member's
-   overlap with the other group's token union bounds its overlap with every
-   member, and only groups that pass are opened.
+4. *Bound.* Two groups of different clusters stay only if sizes allow a link and
+   they meet in as many tokens of their prefixes as a linked pair must; then
+   each member's overlap with the other group's token union bounds its overlap
+   with every member, and only groups that pass are opened.
 5. *Open.* Members of opened groups are compared exactly.
 
 Empty or null texts have no set, link with nothing and are their own
@@ -41,6 +41,8 @@ from .components import components
 PERCENT = 80
 KEYS, ROWS_PER_KEY = 4, 2
 GROUP_DOCS, GROUP_TOKENS = 16, 30_000
+#: A prefix is longer by a twentieth of the set than one shared token would need, and a pair must share as many.
+PREFIX_SHARE = 20
 SAMPLE_ONE_IN = 32
 #: Ids that may be broadcast to pick texts (8 MB); beyond it the join is shuffled.
 BROADCAST_IDS = 500_000
@@ -107,24 +109,29 @@ def _needed(size: np.ndarray | int) -> np.ndarray | int:
     return -(-PERCENT * size // 100)
 
 
+def _shared(size):
+    """How many tokens the prefixes of a linked pair share at least, by the smaller of the two sizes."""
+    return 1 + size // PREFIX_SHARE
+
+
 def _prefixes(common: np.ndarray):
     bits = np.uint64(64 - (len(common).bit_length() - 1 + 6))
 
     def run(batches):
         for batch in batches:
             ids, size, tokens = [], [], []
-            for part in tb.parts(batch.column(0)):
-                for u in part.shingle_sets():
+            for part in tb.parts(batch.column(1)):
+                for i, u in enumerate(part.shingle_sets(), part.at):
                     if not len(u):
                         continue
                     at = u >> bits
                     often = (common[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-                    many = len(u) - _needed(len(u)) + 1
+                    many = len(u) - _needed(len(u)) + _shared(len(u))
                     rare = u[~often]
                     first = rare[:many] if len(rare) >= many else np.concatenate([rare, u[often][: many - len(rare)]])
-                    ids.append(_digest(u)[0]), size.append(len(u)), tokens.append(tb.signed(first))
+                    ids.append(i), size.append(len(u)), tokens.append(tb.signed(first))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(tb.signed(np.array(ids, np.uint64))), pa.array(size, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))], names=["d1", "n", "tokens"]
+                [batch.column(0).take(pa.array(ids, pa.int64())), pa.array(size, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))], names=["doc_id", "n", "tokens"]
             )
 
     return run
@@ -191,33 +198,35 @@ def _leader_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def _cross_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Links between clusters, as (a, b) of cluster ids. reps: doc_id, n, d1, cluster."""
+    """Links between clusters, as (a, b) of cluster ids. reps: doc_id, n, cluster."""
     per = reps.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n").alias("tokens"))
     bins = F.greatest(F.ceil(F.col("docs") / GROUP_DOCS), F.ceil(F.col("tokens") / GROUP_TOKENS)).cast("int")
-    grouped = cut(reps.join(per, "cluster").select("doc_id", "n", "d1", "cluster", F.pmod(F.xxhash64("doc_id"), bins).alias("bin")))
+    grouped = cut(reps.join(per, "cluster").select("doc_id", "cluster", F.pmod(F.xxhash64("doc_id"), bins).alias("bin")))
     rows = (
-        docs.select("text")
-        .mapInArrow(_prefixes(common_tokens(docs)), "d1 long, n int, tokens array<long>")
-        .select("d1", "n", F.posexplode("tokens").alias("pos", "t"))
+        docs.select("doc_id", "text")
+        .mapInArrow(_prefixes(common_tokens(docs)), "doc_id long, n int, tokens array<long>")
+        .select("doc_id", "n", F.posexplode("tokens").alias("pos", "t"))
     )
     of_token = W.partitionBy("t")  # the one exchange of all prefixes: tokens that a single set holds end here
-    rows = rows.withColumns({"lo": F.min("d1").over(of_token), "hi": F.max("d1").over(of_token)}).filter("lo != hi").drop("lo", "hi")
-    rows = rows.dropDuplicates(["t", "d1"]).join(grouped.select("d1", "cluster", "bin"), "d1")
-    matrix = rows.groupBy("t", "cluster", "bin").agg(
+    rows = rows.withColumns({"lo": F.min("doc_id").over(of_token), "hi": F.max("doc_id").over(of_token)}).filter("lo != hi").drop("lo", "hi")
+    rows = rows.join(grouped.select("doc_id", "cluster", "bin"), "doc_id")  # copies end here
+    matrix = rows.repartition("t").groupBy("t", "cluster", "bin").agg(
         F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("pos")).alias("left")
     )
-    matrix = cut(matrix)
-    mixed = matrix.groupBy("t").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).filter("lo != hi").select("t")
-    matrix = matrix.join(mixed, "t", "left_semi")
+    matrix = matrix.withColumns({"lo": F.min("cluster").over(of_token), "hi": F.max("cluster").over(of_token)}).filter("lo != hi").drop("lo", "hi")
     x, y = (matrix.select("t", *(F.col(c).alias(f"{c}_{s}") for c in matrix.columns if c != "t")) for s in "xy")
-    # overlap >= 80/180 of both sizes; the first shared token leaves at most the shorter rest
+    # A pair of overlap o shares k tokens at least among those with o - k others behind them in both sets (their
+    # sizes give o >= 80/180 of the sum); groups stand for their members by the extreme sizes.
+    small, large = F.least("least_x", "least_y"), F.least("most_x", "most_y")
     meets = x.join(y, "t").filter(
         (F.col("cluster_x") < F.col("cluster_y"))
         & (100 * F.col("most_x") >= PERCENT * F.col("least_y"))
         & (100 * F.col("most_y") >= PERCENT * F.col("least_x"))
-        & ((100 + PERCENT) * F.least("left_x", "left_y") >= PERCENT * (F.col("least_x") + F.col("least_y")))
+        & ((100 + PERCENT) * (F.least("left_x", "left_y") + F.floor(large / PREFIX_SHARE)) >= PERCENT * (F.col("least_x") + F.col("least_y")))
     )
-    pairs = cut(meets.select("cluster_x", "bin_x", "cluster_y", "bin_y").distinct())
+    meets = meets.groupBy("cluster_x", "bin_x", "cluster_y", "bin_y").agg(F.count("*").alias("shared"), F.first(1 + F.floor(small / PREFIX_SHARE)).alias("wanted"))
+    meets = meets.filter("shared >= wanted")
+    pairs = cut(meets.select("cluster_x", "bin_x", "cluster_y", "bin_y"))
     wanted = pairs.select(F.col("cluster_x").alias("cluster"), F.col("bin_x").alias("bin")).unionByName(
         pairs.select(F.col("cluster_y").alias("cluster"), F.col("bin_y").alias("bin"))
     )
@@ -235,13 +244,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     same = ["n", "d1", "d2"]
     classes = all_docs.filter("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"))
     of_class = cut(
-        all_docs.filter("n > 0").join(classes, same).select("doc_id", "n", "d1", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("keys")).alias("keys"))
+        all_docs.filter("n > 0").join(classes, same).select("doc_id", "n", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("keys")).alias("keys"))
     )
     reps = of_class.filter("keys is not null").dropDuplicates(["doc_id"])
     links = _leader_links(docs, reps)
     cluster = cut(components(links, "a", "b"))
     reps = reps.join(cluster.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        "doc_id", "n", "d1", F.coalesce("component", "doc_id").alias("cluster")
+        "doc_id", "n", F.coalesce("component", "doc_id").alias("cluster")
     )
     merged = components(_cross_links(docs, reps), "a", "b").select(F.col("node").alias("component"), F.col("component").alias("merged"))
     final = cluster.join(merged, "component", "left").select(F.col("node").alias("rep"), F.coalesce("merged", "component").alias("component_id"))
