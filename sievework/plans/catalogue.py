@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from . import checkpoints, evidence
+
 
 def queries() -> dict:
-    return {}
+    return checkpoints.R.queries | evidence.R.queries
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return checkpoints.R.sql | evidence.R.sql
