@@ -97,7 +97,7 @@ def rules() -> list[Rule]:
     out = [Rule(label, phrase, tuple(phrase.split()[:1]), 1.0, 0, True) for phrase, label in BASE]
     for (notice, sure), (label, names, versions, keywords) in product(NOTICES, FAMILIES):
         for name, version in product(names, sorted(versions, key=len, reverse=True)):
-            body = rf"{name}(?: version| v)? {version}" if version else name
+            body = rf"{name}(?: version| v)? v?{version}" if version else name
             full = f"{label} {version}".strip() if version else label
             out.append(Rule(full, notice.format(body), keywords, sure, len(out)))
     out += [Rule(label, p, k, sure, len(out) + i) for i, (label, p, k, sure) in enumerate(PLAIN)]
