@@ -56,16 +56,15 @@ def rechunked(records: DataFrame, page: list[str], order: str, size: int = 150)
 
 def stored_pages(spark: SparkSession, path: str, most: int = 2_500_000) -> DataFrame:
     """path, html: stored HTML files up to ``most`` bytes, decoded by the character set that they declare."""
+    @F.pandas_udf("string")
+    def from_korean(content: pd.Series) -> pd.Series:  # Spark's own decode knows the UTF character sets only
+        return content.map(lambda b: bytes(b).decode("cp949", "replace"))
+
     raw = spark.read.format("binaryFile").load(path).filter(F.col("length") <= most)
     head = F.lower(F.decode(F.substring("content", 1, 2048), "ISO-8859-1"))
     korean = head.rlike(r"charset\s*=\s*[\"']?\s*(?:euc-kr|cp949|ks_c_5601)")
-    return raw.select("path", F.when(korean, _from_korean("content")).otherwise(F.decode("content", "UTF-8")).alias("html"))
-
+    return raw.select("path", F.when(korean, from_korean("content")).otherwise(F.decode("content", "UTF-8")).alias("html"))
 
-@F.pandas_udf("string")
-def _from_korean(content: pd.Series) -> pd.Series:
-    """Spark's own decode knows the UTF character sets only."""
-    return content.map(lambda b: bytes(b).decode("cp949", "replace"))
 
 
 def transcript(spark: SparkSession, path: str, tab: bool = False) -> DataFrame:
