@@ -39,6 +39,10 @@ ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 #: Rows that a file holds on average.
 FILE_ROWS = 16_384
+#: Pieces that are encoded at a time.
+_PIECES = 2_048
+#: Bytes of text that are encoded at a time.
+SLICE_BYTES = 256 << 10
 #: Pieces with special tokens, or white space beyond ASCII that the tokenizer may treat in its own way, are encoded with the text around them.
 _ODD = re.compile(rb"<\||\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2[\x80\x81]|\xe3\x80\x80|[\x1c-\x1f]")
 _ROW = "part int, doc_id long, place long, n_tokens int, tokens array<int>"
@@ -64,10 +68,14 @@ class Encoder:
         if len(self.hashes) > 400_000:
             self.hashes, self.start, self.ids = self.hashes[:0], self.start[:1], self.ids[:0]
         raw = part.spaced.tobytes()
-        got = [x.ids for x in self.tokenizer.encode_batch([raw[i:j].decode() for i, j in zip(a.tolist(), b.tolist(), strict=True)], add_special_tokens=False)]
-        size = np.concatenate([np.diff(self.start), np.fromiter(map(len, got), np.int64, len(got))])
+        sizes, ids = [np.diff(self.start)], [self.ids]
+        for lo in range(0, len(a), _PIECES):  # an encoding holds far more than its ids
+            pieces = [raw[i:j].decode() for i, j in zip(a[lo : lo + _PIECES].tolist(), b[lo : lo + _PIECES].tolist(), strict=True)]
+            got = [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, got), np.int64, len(got)))
+            ids.append(np.fromiter((t for x in got for t in x), np.int32, int(sizes[-1].sum())))
+        size, ids = np.concatenate(sizes), np.concatenate(ids)
         start = np.concatenate([[0], np.cumsum(size)])
-        ids = np.concatenate([self.ids, np.fromiter((t for x in got for t in x), np.int32, int(start[-1]) - len(self.ids))])
         every = np.concatenate([self.hashes, h])
         order = np.argsort(every, kind="stable")
         new = np.concatenate([[0], np.cumsum(size[order])])
@@ -120,7 +128,7 @@ def _encode(path: str):
         encoder, place = Encoder(path), 0
         for batch in batches:
             texts = batch.column(2)
-            for part in tb.parts(texts):
+            for part in tb.parts(texts, SLICE_BYTES):
                 ids, ends = encoder.encode(part)
                 if _ODD.search(part.raw.tobytes()):
                     rows = np.split(ids, ends[:-1])
