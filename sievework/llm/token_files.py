@@ -12,8 +12,9 @@ file carries column and page indexes, and rows are sorted by doc_id, so a read
 of an id range opens only the row groups and pages that hold it.
 
 Whole texts are encoded. Texts are cut at white space, which the tokenizer
-drops, and each distinct piece of a slice is encoded once; a piece keeps its
-ids wherever it stands. Null and empty texts give the end id alone. Rows that
+drops, and before marks, and each distinct piece of a slice is encoded once; a
+piece keeps its ids wherever it stands. A-Z are lower-cased first, as the
+tokenizer does so to all letters. Null and empty texts give the end id alone. Rows that
 repeat a doc_id keep their own places, in the order of their texts' hashes; a
 null doc_id comes first. Extra columns are not written.
 """
@@ -42,7 +43,10 @@ FILE_ROWS = 16_384
 #: Pieces that are encoded at a time.
 _PIECES = 2_048
 #: Bytes of text that are encoded at a time.
-SLICE_BYTES = 256 << 10
+SLICE_BYTES = 512 << 10
+#: A text is also cut between an ASCII letter or digit and one of these marks: the tokenizer cuts there too.
+_BEFORE, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_BEFORE[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = _MARK[list(b".,;:!?")] = True
 #: Pieces with special tokens, or white space beyond ASCII that the tokenizer may treat in its own way, are encoded with the text around them.
 _ODD = re.compile(rb"<\||\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2[\x80\x81]|\xe3\x80\x80|[\x1c-\x1f]")
 _ROW = "part int, doc_id long, place long, n_tokens int, tokens array<int>"
@@ -67,7 +71,7 @@ class Encoder:
         """Put pieces (by hash, ascending) that are not known yet into the table, which is begun anew when it has grown large."""
         if len(self.hashes) > 400_000:
             self.hashes, self.start, self.ids = self.hashes[:0], self.start[:1], self.ids[:0]
-        raw = part.spaced.tobytes()
+        raw = part.buf.tobytes()
         sizes, ids = [np.diff(self.start)], [self.ids]
         for lo in range(0, len(a), _PIECES):  # an encoding holds far more than its ids
             pieces = [raw[i:j].decode() for i, j in zip(a[lo : lo + _PIECES].tolist(), b[lo : lo + _PIECES].tolist(), strict=True)]
@@ -85,13 +89,10 @@ class Encoder:
     def encode(self, part: tb.Slice) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, end of each text's ids), each text closed by the end id."""
         part.words(tb.NOT_SPACE)
-        # hashes of the text as it is: the tokenizer lower-cases by its own rules
-        spaced = np.full(len(part.buf), 0x20, np.uint8)
-        keep = np.ones(len(part.buf), bool)
-        keep[part.last] = False
-        spaced[keep] = part.raw
-        part.spaced = spaced
-        h = tb.word_hashes(spaced, part.starts, part.ends)
+        cut = np.flatnonzero(_BEFORE[part.buf[:-1]] & _MARK[part.buf[1:]]) + 1
+        part.starts, part.ends = np.sort(np.concatenate([part.starts, cut])), np.sort(np.concatenate([part.ends, cut]))
+        part.w = np.searchsorted(part.starts, np.concatenate([part.first, [len(part.buf)]]))
+        h = part.hashes()
         distinct, where, back = np.unique(h, return_index=True, return_inverse=True)
         at = np.searchsorted(self.hashes, distinct)
         known = np.zeros(len(distinct), bool)
