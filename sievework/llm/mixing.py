@@ -26,6 +26,9 @@ SHARE_PERCENT = 150
 MOST_EPOCHS = 2
 #: Documents that one range of keys holds on average.
 RANGE_DOCS = 4096
+#: The plan (a row a source) is broadcast up to this size; beyond it the join is salted.
+BROADCAST_SOURCES, BROADCAST_BYTES = 50_000, 8 << 20
+SALTS = 64
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -81,7 +84,13 @@ def mix(docs: DataFrame) -> DataFrame:
         .withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
         .withColumn("rest", F.floor(F.col("target")).cast("long") - F.col("whole") * F.col("source_size"))
     )
-    rows = sized.withColumns({"s": F.coalesce("source", F.lit("")), "none": F.col("source").isNull()}).join(plan, ["s", "none"])
+    rows = sized.withColumns({"s": F.coalesce("source", F.lit("")), "none": F.col("source").isNull()})
+    much = plan.agg(F.count("*"), F.sum(F.octet_length("s"))).first()
+    if much[0] <= BROADCAST_SOURCES and (much[1] or 0) <= BROADCAST_BYTES:
+        rows = rows.join(F.broadcast(plan), ["s", "none"])
+    else:  # a source's rows go to as many tasks as there are salts
+        salted = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(salted, ["s", "none", "salt"]).drop("salt")
     rows = rows.withColumn("range", _key_range(F.col("key"), F.col("ranges")))
     group = ["s", "none", "range"]
     sums = rows.groupBy(*group).agg(F.sum("size").alias("in_range"))

@@ -93,7 +93,7 @@ def test_licences(spark, texts, edge, none):
     assert rows(licences.licence_scan(none)) == []
 
 
-def test_mix(spark, edge, none):
+def test_mix(spark, edge, none, monkeypatch):
     for docs in (spark.read.parquet(f"{D}/documents.parquet"), edge):
         got = mixing.mix(docs).collect()
         assert len(got) == docs.count() and sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix(docs).collect()), key=str)
@@ -103,6 +103,9 @@ def test_mix(spark, edge, none):
             taken[r.source] = taken.get(r.source, 0) + r.taken
         for s, t in taken.items():
             assert abs(t - want[s]) <= 1
+    many = sorted(rows(mixing.mix(edge)), key=str)
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)  # as with very many sources
+    assert sorted(rows(mixing.mix(edge)), key=str) == many
     assert rows(mixing.mix(none)) == [] and rows(mixing.mixed_documents(none)) == []
     assert mixing.mixed_documents(edge).columns == edge.columns
 
