@@ -151,7 +151,7 @@ def test_classifiers_on_held_out_labels(spark, query, column, folds, out, least)
     assert len(got) == spark.read.parquet(f"{at}/documents.parquet").count()
     for r in got:
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % folds == out) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3)
-    assert held_out_auc(got, spark.read.parquet(f"{at}/labels.parquet"), column) > least  # some labels of the table are wrong
+    assert held_out_auc(got, spark.read.parquet(f"{at}/labels.parquet"), column) > least
 
 
 def test_classifier_edges(spark, edge, none):
