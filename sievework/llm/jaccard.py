@@ -224,7 +224,8 @@ def _cross_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
         & (100 * F.col("most_y") >= PERCENT * F.col("least_x"))
         & ((100 + PERCENT) * (F.least("left_x", "left_y") + F.floor(large / PREFIX_SHARE)) >= PERCENT * (F.col("least_x") + F.col("least_y")))
     )
-    meets = meets.groupBy("cluster_x", "bin_x", "cluster_y", "bin_y").agg(F.count("*").alias("shared"), F.first(1 + F.floor(small / PREFIX_SHARE)).alias("wanted"))
+    # a token that a linked pair shares has no larger ``small`` than the pair's smaller set; others may, so the least counts
+    meets = meets.groupBy("cluster_x", "bin_x", "cluster_y", "bin_y").agg(F.count("*").alias("shared"), F.min(1 + F.floor(small / PREFIX_SHARE)).alias("wanted"))
     meets = meets.filter("shared >= wanted")
     pairs = cut(meets.select("cluster_x", "bin_x", "cluster_y", "bin_y"))
     wanted = pairs.select(F.col("cluster_x").alias("cluster"), F.col("bin_x").alias("bin")).unionByName(

@@ -81,6 +81,55 @@ def test_jaccard_edges(spark, edge, none):
     assert kept == [1, 2, 3, 4, 6, 7, 9, 10, 11]
 
 
+def growing_chains(pairs=6, seed=3):
+    """(texts, links inside the chains, texts whose tokens pass as common).
+
+    Pairs of chains of texts that grow by a quarter a step; the first text of
+    one is four fifths of the first of the other, and their last texts alone
+    share a passage.
+    """
+    rng, texts, links, often = random.Random(seed), [], [], []
+    words = lambda n: [f"g{rng.randrange(10**9)}" for _ in range(n)]
+    for _ in range(pairs):
+        first, passage, size = words(1004), words(600), [1000]
+        while len(size) < 8:
+            size.append(size[-1] * 5 // 4)
+        for chain, start in (("x", 0), ("y", 1)):
+            text = list(first)
+            for k in range(8 if chain == "x" else 9):
+                if k:
+                    more = (size[k] if k < 8 else size[7] * 5 // 4) - (len(text) - 4)
+                    last = k == (7 if chain == "x" else 8)
+                    text = text + (passage + words(more - len(passage)) if last else words(more))
+                if k < start:
+                    continue
+                if k > start:
+                    links.append((len(texts), len(texts) - 1))
+                texts.append(" ".join(text))
+            if chain == "x":
+                often.append(" ".join(w for w in text if w not in set(passage)))
+    return list(enumerate(texts)), links, often
+
+
+def test_jaccard_links_the_small_members_of_mixed_groups(spark, monkeypatch):
+    """Groups whose large members share tokens of their own still meet by their small ones, though no leader joins them."""
+    import pyarrow as pa
+
+    from sievework.llm import textbits as tb
+
+    docs, links, often = growing_chains()
+    bitmap = np.zeros(1 << 16, np.uint64)
+    for part in tb.parts(pa.array(often)):
+        for u in part.shingle_sets():
+            at = u >> np.uint64(42)
+            np.bitwise_or.at(bitmap, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    monkeypatch.setattr(jaccard, "common_tokens", lambda docs: bitmap)  # any order gives the same links
+    monkeypatch.setattr(jaccard, "_leader_links", lambda docs, reps: spark.createDataFrame(links, "a long, b long"))
+    got = {r[0]: (r[1], r[2]) for r in rows(jaccard.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")))}
+    want = brute.jaccard(docs)
+    assert len({c for _, c in want.values()}) == 6 and got == want
+
+
 def test_licences(spark, texts, edge, none):
     got = {r[0]: r for r in rows(queries.op2_license_scans(spark, D))}
     for d, t in texts:
