@@ -111,7 +111,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """
     # A doc_id that repeats counts with its mean, so that a row comes as often whichever of them it is.
     taken = mix(docs).groupBy("doc_id").agg(
-        F.coalesce(F.floor(F.sum("taken") / F.sum("size") + 0.5), F.lit(0)).cast("int").alias("_times")
+        F.coalesce(F.floor(F.try_divide(F.sum("taken"), F.sum("size")) + 0.5), F.lit(0)).cast("int").alias("_times")
     ).withColumnRenamed("doc_id", "_mixed")
     out = docs.join(taken.filter("_times > 0"), docs["doc_id"].eqNullSafe(F.col("_mixed")))
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)

@@ -159,6 +159,51 @@ def test_mix(spark, edge, none, monkeypatch):
     assert mixing.mixed_documents(edge).columns == edge.columns
 
 
+def copies_meet_targets(given, mixed):
+    """Whole documents of ``mixed`` miss each source's target by half a document at most, and none without words is among them."""
+    want, got, largest = brute.mix([(r.doc_id, r.text, r.source) for r in given]), {}, {}
+    for r in mixed:
+        got[r.source] = got.get(r.source, 0) + len(brute.spaced(r.text))
+        assert brute.spaced(r.text)
+    for r in given:
+        largest[r.source] = max(largest.get(r.source, 0), len(brute.spaced(r.text)))
+    assert set(got) <= set(want)
+    return all(abs(got.get(s, 0) - t) <= largest[s] / 2 + 1 for s, t in want.items())
+
+
+def test_mixed_documents_of_no_words(spark, edge):
+    """Null, empty and blank texts are taken no times and end nothing."""
+    once = edge.filter("doc_id is not null").dropDuplicates(["doc_id"])  # the half-document bound is for ids that do not repeat
+    assert copies_meet_targets(once.collect(), mixing.mixed_documents(once).collect())
+    assert not {1, 2, 3} & {r.doc_id for r in mixing.mixed_documents(edge).collect()}
+    blank = edge.filter("doc_id in (1, 2, 3)")
+    assert rows(mixing.mixed_documents(blank)) == []
+
+
+def test_pipeline_stages_on_edges(spark, edge, tokenizer, tmp_path, monkeypatch):
+    """run() and what each stage hands on, with null, empty, blank and repeated rows."""
+    import glob
+
+    import corpus_pipeline
+
+    edge.select("doc_id", "text", "source", "lang").write.parquet(str(tmp_path / "sf/documents.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in range(12)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "sf/labels.parquet"))
+    items = [(1, "gnu general public license v2 0"), (2, None), (3, "")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "sf/benchmark.parquet"))
+    monkeypatch.setattr(corpus_pipeline, "shared_folder", lambda spark: str(tmp_path / "out"))
+    final = corpus_pipeline.run(spark, str(tmp_path / "sf")).collect()
+    (at,) = glob.glob(str(tmp_path / "out/corpus-*"))
+    good, distinct, clean, mixed = (spark.read.parquet(f"{at}/{k}").collect() for k in range(4))
+    by = lambda rs: sorted(((r.doc_id, r.text) for r in rs), key=str)
+    assert by(good) == sorted(((d, t) for d, t, *_ in EDGE), key=str)
+    group = brute.jaccard([(d, t) for d, t, *_ in EDGE if d is not None])
+    assert by(distinct) == sorted({(d, t) for d, t, *_ in EDGE if d is not None and group[d][1] == d}, key=str)
+    assert by(clean) == [(r.doc_id, r.text) for r in sorted(distinct, key=lambda r: str((r.doc_id, r.text))) if not brute.contamination(r.text, items)[4]] and 9 not in {r.doc_id for r in clean}
+    assert copies_meet_targets(clean, mixed)
+    ids = {r.doc_id: [*tokenizer.encode(r.text, add_special_tokens=False).ids, 2] for r in {(r.doc_id, r.text): r for r in mixed}.values()}
+    assert sorted((r.doc_id, r.n_tokens, r[3]) for r in final) == sorted((r.doc_id, len(ids[r.doc_id]), brute.crc(ids[r.doc_id])) for r in mixed)
+
+
 def test_contamination(spark, texts, edge, none):
     items = [tuple(r) for r in spark.read.parquet(f"{D}/benchmark.parquet").select("item_id", "text").collect()]
     got = {r[0]: r[1:] for r in rows(queries.op4_benchmark_decontamination(spark, D))}
