@@ -6,6 +6,12 @@ one bucket a table. A query looks into several buckets of every table, those
 of its largest coordinates (multiprobe). All candidates of a bucket block are
 compared exactly, in double precision on the original vectors.
 
+Directions say little of nearness where lengths vary: the nearest of a short
+vector are other short ones at any angle. Tables of lifted vectors come in then,
+with one more component of a low or the middle length, so that vectors
+much shorter than it share a direction. A query that finds fewer than it asks
+for is compared with all rows, in blocks.
+
 Equal vectors fall together first: no query needs more of them than its own
 number of neighbours plus itself, the smallest ids, so that many copies of a
 vector cost one row. A bucket is dealt to blocks of bounded size and a query
@@ -15,8 +21,7 @@ only each block's best few.
 Vectors that are null, of length zero, or hold null or non-finite components
 take no part; so do vectors of another length than the most frequent one. Null
 ids take no part. A repeated row (same id and vector) counts once. With fewer
-candidates than asked for, all that were found come back. Extra columns are
-not read.
+candidates than asked for, all of them come back. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -31,6 +36,8 @@ from pyspark.sql import Window as W
 from .common import cut
 
 TABLES, PROBES = 6, 20
+#: Where the longest vector exceeds the shortest by this factor: tables of vectors lifted by each of these quantiles of the lengths.
+LENGTHS_VARY, LIFTS, LIFTED_TABLES = 1.01, (0.1, 0.5), 3
 BLOCK_ROWS = 4096
 QUERY_EVERY = 100
 NEIGHBOURS = 10
@@ -73,16 +80,16 @@ def _rows(column: pa.Array, dim: int) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dim)
 
 
-def _hashed(dim: int, tables: int, probes: int):
-    signs = rotations(dim, tables)
+def _hashed(dim: int, tables: int, probes: int, lifts: list[float]):
+    hashes = [(None, s) for s in rotations(dim, tables)] + [(c, s) for n, c in enumerate(lifts) for s in rotations(dim + 1, LIFTED_TABLES, seed=6 + n)]
 
     def run(batches):
         for batch in batches:
             x = _rows(batch.column(1), dim)
             if not len(x):
                 continue
-            for t in range(tables):
-                b = buckets(x, signs[t], probes)
+            for t, (lift, signs) in enumerate(hashes):
+                b = buckets(x if lift is None else np.column_stack([x, np.full(len(x), lift)]), signs, probes)
                 take = pa.array(np.repeat(np.arange(len(x)), b.shape[1]))
                 yield pa.RecordBatch.from_arrays(
                     [*(c.take(take) for c in batch.columns), pa.array(np.full(b.size, t, np.int32)), pa.array(b.ravel().astype(np.int32))],
@@ -130,9 +137,27 @@ def usable(vectors: DataFrame) -> tuple[DataFrame, int]:
     return rows.filter(F.size("embedding") == dim), dim
 
 
+def lifts_of(rows: DataFrame) -> list[float]:
+    """The lengths to lift by; none where all vectors are about as long."""
+    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    told = rows.select(length.alias("n")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.percentile_approx("n", list(LIFTS)).alias("at")).first()
+    return list(told.at) if told.least is not None and told.most > LENGTHS_VARY * told.least else []
+
+
+def _against_all(classes: DataFrame, asked: DataFrame, many: int, best, spec: str) -> DataFrame:
+    """Each of ``many`` queries compared with all rows, a block of queries with a block of rows at a time."""
+    classes = cut(classes)
+    blocks, chunks = -(-classes.count() // BLOCK_ROWS), -(-many // BLOCK_ROWS)
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    index = classes.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("chunk", all_of(chunks))
+    asked = asked.withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int")).withColumn("block", all_of(blocks))
+    return index.groupBy("block", "chunk").cogroup(asked.groupBy("block", "chunk")).applyInPandas(best, spec)
+
+
 def nearest(vectors: DataFrame, every: int = QUERY_EVERY, k: int = NEIGHBOURS, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id ``every`` divides, its k nearest found."""
     rows, dim = usable(vectors)
+    lifts = lifts_of(rows)
     # the smallest ids of equal vectors, merged pairwise so that no list outgrows what a query can use
     narrow = rows.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
     few = lambda c: F.slice(F.array_sort(F.array_distinct(c)), 1, k + 1)
@@ -141,17 +166,24 @@ def nearest(vectors: DataFrame, every: int = QUERY_EVERY, k: int = NEIGHBOURS, t
     classes = classes.select(F.element_at("same", 1).alias("vec_id"), "embedding", "same")
     kind = rows.schema["embedding"].dataType.simpleString()
     spec = f"vec_id long, embedding {kind}, same array<long>, tab int, bucket int"
-    index = classes.mapInArrow(_hashed(dim, tables, 1), spec)
+    index = classes.mapInArrow(_hashed(dim, tables, 1, lifts), spec)
     sizes = cut(index.groupBy("tab", "bucket").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")))
     index = index.join(sizes, ["tab", "bucket"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
     asked = rows.filter(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query_id"), "embedding")
-    asked = asked.mapInArrow(_hashed(dim, tables, probes), f"query_id long, embedding {kind}, tab int, bucket int")
+    queries = asked
+    asked = asked.mapInArrow(_hashed(dim, tables, probes, lifts), f"query_id long, embedding {kind}, tab int, bucket int")
     asked = asked.join(sizes, ["tab", "bucket"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
     key = ["tab", "bucket", "block"]
-    best = (
+    found = "query_id long, vec_id long, score double"
+    best = cut(
         index.select(*key, "vec_id", "embedding", "same").groupBy(*key)
         .cogroup(asked.select(*key, "query_id", "embedding").groupBy(*key))
-        .applyInPandas(_best(dim, k), "query_id long, vec_id long, score double")
+        .applyInPandas(_best(dim, k), found)
     )
+    served = best.groupBy("query_id").agg(F.countDistinct("vec_id").alias("n")).filter(F.col("n") >= k)
+    short = cut(queries.join(served, "query_id", "left_anti"))
+    many = short.count()
+    if many:
+        best = best.unionByName(_against_all(classes, short, many, _best(dim, k), found))
     by = W.partitionBy("query_id").orderBy("score", "vec_id")
     return best.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")).withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

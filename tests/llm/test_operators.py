@@ -350,3 +350,37 @@ def test_neighbours_edges(spark):
     got = sorted(rows(neighbours.nearest(df)))
     assert [(q, r, v) for q, r, v, _ in got] == [(0, 1, 1), (0, 2, 100), (0, 3, 2), (100, 1, 0), (100, 2, 1), (100, 3, 2)]
     assert rows(neighbours.nearest(df.limit(0))) == []
+
+
+def recall_of_neighbours(got, want):
+    found = {}
+    for q, _, v, _ in got:
+        found.setdefault(q, set()).add(v)
+    return sum(len(found.get(q, set()) & {v for _, v in near}) for q, near in want.items()) / sum(map(len, want.values()))
+
+
+def test_neighbours_of_mixed_lengths(spark):
+    """Short vectors find other short ones at any angle; the ids asked for are the shortest."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 64))
+    x *= np.exp(rng.normal(size=(3000, 1))) / np.linalg.norm(x, axis=1, keepdims=True)
+    x = x[np.argsort(np.linalg.norm(x, axis=1))]
+    ids = [100 * i if i < 60 else 10_000 + 100 * i + 1 for i in range(len(x))]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    assert recall_of_neighbours(rows(neighbours.nearest(df)), exact_neighbours(ids, x)) >= 0.95
+
+
+@pytest.mark.parametrize(("few", "k"), [(8, 10), (40, 10)])
+def test_neighbours_all_come_back(spark, monkeypatch, few, k):
+    """Candidates opposite to the query come back where there are no nearer ones, also when rows and queries fill several blocks."""
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 3)
+    rng = np.random.default_rng(5)
+    base = np.zeros(64)
+    base[0] = 1.0
+    x = np.array([base, *(-base + 1e-3 * rng.normal(size=64) for _ in range(few - 1))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = [0, *(100 * i + i % 2 for i in range(1, few))]
+    got = sorted(rows(neighbours.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>"))))
+    want = exact_neighbours(ids, x)
+    assert [v for q, _, v, _ in got if q == 0] == [v for _, v in want[0]] and len(want[0]) == min(k, few - 1)
+    assert all(sum(1 for r in got if r[0] == q) == min(k, few - 1) for q in want)
