@@ -117,11 +117,12 @@ def competition_rows(rows: DataFrame, key: str) -> DataFrame:
     return r.groupBy(*same).agg(F.min_by("cells", "row").alias("cells"), F.min("row").cast("int").alias("row"))
 
 
-def public_links(pages: DataFrame, key: str, domains: tuple[str, ...], most: int = 180) -> DataFrame:
-    """key, place, url: links of a page that may enter the frontier, each once, in order, at most ``most``."""
+def public_links(pages: DataFrame, key: str, domains: tuple[str, ...], most: int | None = None) -> DataFrame:
+    """key, place, url: links of a page that may enter the frontier, each once, in order, all or at most ``most``."""
     found = pages.select(key, "url", F.posexplode(U.links(F.col("html"))).alias("at", "link")).withColumn("url", U.frontier_url(U.resolve(F.col("url"), F.trim("link")), domains))
     first = found.filter("url is not null").groupBy(key, "url").agg(F.min("at").alias("at"))
-    return first.withColumn("place", F.row_number().over(W.partitionBy(key).orderBy("at"))).filter(F.col("place") <= most).select(key, "place", "url")
+    placed = first.withColumn("place", F.row_number().over(W.partitionBy(key).orderBy("at"))).select(key, "place", "url")
+    return placed if most is None else placed.filter(F.col("place") <= most)
 
 
 def unpivot_years(tables: DataFrame, key: list[str], header: str = "header", cells: str = "cells") -> DataFrame:

@@ -15,7 +15,7 @@ R = Registry()
 _HOST = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1))"
 _PATH = "CASE WHEN regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) END"
 _SECRET = "(?i)token|session|auth|csrf|transkey|captcha|password|passwd|secret|credential|userid|ipmac"
-TOPIC_WORDS = (("license", "(?i)licen[sc]e"), ("mail", "@"), ("digits", "[0-9]{4}"), ("question", r"\?"), ("list", "(?m)^[-*] "), ("number-heavy", "[0-9].*[0-9].*[0-9]"))
+TOPIC_WORDS = (("license", "(?i)licen[sc]e"), ("mail", "@"), ("digits", "[0-9]{4}"), ("question", r"\?"), ("list", "(?m)^[-*] "))
 
 
 @R.add(f"""SELECT page_id, {_HOST} || {_PATH} AS safe_path, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://' || {_HOST} || {_PATH} || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS canonical,

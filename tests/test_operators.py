@@ -233,3 +233,12 @@ def test_bridge_has_a_time_limit(spark):
     t = dt.datetime(2026, 1, 1)
     e = spark.createDataFrame([Row(k=1, at=t, c="x"), Row(k=1, at=t + dt.timedelta(minutes=4), c=None), Row(k=1, at=t + dt.timedelta(minutes=6), c=None)], "k int, at timestamp, c string")
     assert [r.bridged for r in decide.attach_recent(e, "k", "at", F.col("c").isNotNull(), "c").orderBy("at").collect()] == ["x", "x", None]
+
+
+def test_all_public_links_of_a_page(spark):
+    """A page of more links than a crawl fetches at once keeps them all; a caller may ask for fewer."""
+    html = "".join(f'<a href="/p/{i}">x</a>' for i in range(250))
+    pages = spark.createDataFrame([(1, "https://example.com/", html)], "page_id long, url string, html string")
+    got = extract.public_links(pages, "page_id", ("example.com",)).orderBy("place").collect()
+    assert [r.place for r in got] == list(range(1, 251)) and got[-1].url.endswith("/p/249")
+    assert extract.public_links(pages, "page_id", ("example.com",), most=7).count() == 7
