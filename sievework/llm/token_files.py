@@ -12,18 +12,25 @@ file carries column and page indexes, and rows are sorted by doc_id, so a read
 of an id range opens only the row groups and pages that hold it.
 
 Whole texts are encoded. Texts are cut at white space, which the tokenizer
-drops, and before marks, and each distinct piece of a slice is encoded once; a
-piece keeps its ids wherever it stands. A-Z are lower-cased first, as the
-tokenizer does so to all letters. Null and empty texts give the end id alone. Rows that
-repeat a doc_id keep their own places, in the order of their texts' hashes; a
-null doc_id comes first. Extra columns are not written.
+drops, and between ASCII characters of two kinds, where its pattern never joins
+them, and each distinct piece is encoded once by a Python worker; a piece keeps
+its ids wherever it stands. A-Z are lower-cased first, as the tokenizer does so
+to all letters. Null and empty texts give the end id alone. A very long text is
+a slice of its own; its size bounds a task's memory, as files are cut by bytes.
+Rows that repeat a doc_id keep their own places, in the order of their texts'
+hashes (the range sampling reads texts for that: ties must not hang on the order
+rows come in); a null doc_id comes first. Rows equal in both are the same and
+may lie in any order. Extra columns, whatever their names, are not written. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,15 +45,23 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
-#: Rows that a file holds on average.
-FILE_ROWS = 16_384
+#: Bytes of text that a file holds on average.
+FILE_BYTES = 32 << 20
 #: Pieces that are encoded at a time.
 _PIECES = 2_048
 #: Bytes of text that are encoded at a time.
 SLICE_BYTES = 512 << 10
-#: A text is also cut between an ASCII letter or digit and one of these marks: the tokenizer cuts there too.
-_BEFORE, _MARK = np.zeros(256, bool), np.zeros(256, bool)
-_BEFORE[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = _MARK[list(b".,;:!?")] = True
+#: Pieces that a Python worker remembers, about 40 bytes each.
+KNOWN_PIECES = 800_000
+#: Kinds of ASCII characters: letter 1, digit 2, mark 3, apostrophe 4; white space and other bytes 0.
+_KIND = np.zeros(256, np.uint8)
+_KIND[: 0x80][tb.NOT_SPACE[: 0x80]] = 3
+_KIND[list(b"abcdefghijklmnopqrstuvwxyz")], _KIND[list(b"0123456789")], _KIND[list(b"'")] = 1, 2, 4
+#: Whether the tokenizer's pattern always parts a character of one kind from the next of another: a digit stands alone, a letter ends
+#: before a mark or an apostrophe, a mark before a letter (an apostrophe may open 's and its like).
+_PARTS = np.zeros((5, 5), bool)
+_PARTS[2, 1:] = _PARTS[1:, 2] = True
+_PARTS[1, [3, 4]] = _PARTS[3, 1] = True
 #: Pieces with special tokens, or white space beyond ASCII that the tokenizer may treat in its own way, are encoded with the text around them.
 _ODD = re.compile(rb"<\||\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2[\x80\x81]|\xe3\x80\x80|[\x1c-\x1f]")
 _ROW = "part int, doc_id long, place long, n_tokens int, tokens array<int>"
@@ -59,74 +74,90 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class Encoder:
-    """Encodes the texts of a slice, distinct pieces once."""
+    """Encodes the texts of a slice; a table of pieces, which grows without being sorted anew, keeps what is known."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.hashes, self.start, self.ids = np.empty(0, np.uint64), np.zeros(1, np.int64), np.empty(0, np.int32)
-
-    def _learn(self, h: np.ndarray, part: tb.Slice, a: np.ndarray, b: np.ndarray) -> None:
-        """Put pieces (by hash, ascending) that are not known yet into the table, which is begun anew when it has grown large."""
-        if len(self.hashes) > 400_000:
-            self.hashes, self.start, self.ids = self.hashes[:0], self.start[:1], self.ids[:0]
-        raw = part.buf.tobytes()
-        sizes, ids = [np.diff(self.start)], [self.ids]
+        self._begin()
+
+    def _begin(self) -> None:
+        #: Ascending hashes of known pieces and the number of each, by which its ids are found.
+        self.hashes, self.number = np.empty(0, np.uint64), np.empty(0, np.int32)
+        self.start, self.ids = np.zeros(1 << 12, np.int64), np.empty(1 << 14, np.int32)
+
+    def _learn(self, h: np.ndarray, raw: bytes, a: np.ndarray, b: np.ndarray) -> None:
+        """Put pieces (by hash, ascending) that are not known yet into the table."""
+        first = len(self.hashes)
+        at = np.searchsorted(self.hashes, h)
+        self.hashes, self.number = np.insert(self.hashes, at, h), np.insert(self.number, at, np.arange(first, first + len(h), dtype=np.int32))
+        while len(self.start) <= len(self.hashes):
+            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
         for lo in range(0, len(a), _PIECES):  # an encoding holds far more than its ids
             pieces = [raw[i:j].decode() for i, j in zip(a[lo : lo + _PIECES].tolist(), b[lo : lo + _PIECES].tolist(), strict=True)]
             got = [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-            sizes.append(np.fromiter(map(len, got), np.int64, len(got)))
-            ids.append(np.fromiter((t for x in got for t in x), np.int32, int(sizes[-1].sum())))
-        size, ids = np.concatenate(sizes), np.concatenate(ids)
-        start = np.concatenate([[0], np.cumsum(size)])
-        every = np.concatenate([self.hashes, h])
-        order = np.argsort(every, kind="stable")
-        new = np.concatenate([[0], np.cumsum(size[order])])
-        at = np.repeat(start[:-1][order] - new[:-1], size[order]) + np.arange(new[-1])
-        self.hashes, self.start, self.ids = every[order], new, ids[at]
+            k, done = first + lo, self.start[first + lo]
+            ends = done + np.cumsum(np.fromiter(map(len, got), np.int64, len(got)))
+            self.start[k + 1 : k + 1 + len(got)] = ends
+            while len(self.ids) < ends[-1]:
+                self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+            self.ids[done : ends[-1]] = list(chain.from_iterable(got))
 
     def encode(self, part: tb.Slice) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, end of each text's ids), each text closed by the end id."""
         part.words(tb.NOT_SPACE)
-        cut = np.flatnonzero(_BEFORE[part.buf[:-1]] & _MARK[part.buf[1:]]) + 1
-        part.starts, part.ends = np.sort(np.concatenate([part.starts, cut])), np.sort(np.concatenate([part.ends, cut]))
-        part.w = np.searchsorted(part.starts, np.concatenate([part.first, [len(part.buf)]]))
-        h = part.hashes()
-        distinct, where, back = np.unique(h, return_index=True, return_inverse=True)
+        kind = _KIND[part.buf]
+        cut = np.flatnonzero(_PARTS.ravel()[kind[:-1] * np.uint8(5) + kind[1:]]) + 1
+        starts, ends = np.concatenate([part.starts, cut]), np.concatenate([part.ends, cut])
+        starts.sort(kind="stable"), ends.sort(kind="stable")
+        part.starts, part.ends = starts, ends
+        part.w = np.searchsorted(starts, np.concatenate([part.first, [len(part.buf)]]))
+        distinct, where, back = np.unique(part.hashes(), return_index=True, return_inverse=True)
         at = np.searchsorted(self.hashes, distinct)
-        known = np.zeros(len(distinct), bool)
+        fresh = np.ones(len(distinct), bool)
         inside = at < len(self.hashes)
-        known[inside] = self.hashes[at[inside]] == distinct[inside]
-        if not known.all():
-            if len(self.hashes) > 400_000:
-                known[:] = False
-            self._learn(distinct[~known], part, part.starts[where[~known]], part.ends[where[~known]])
+        fresh[inside] = self.hashes[at[inside]] != distinct[inside]
+        if fresh.any():
+            if len(self.hashes) > KNOWN_PIECES:
+                self._begin()
+                fresh[:] = True
+            self._learn(distinct[fresh], part.buf.tobytes(), starts[where[fresh]], ends[where[fresh]])
             at = np.searchsorted(self.hashes, distinct)
-        row = at[back]
-        size = self.start[row + 1] - self.start[row]
+        number = self.number[at]
+        from_, long = self.start[number][back], (self.start[number + 1] - self.start[number])[back]
         # each text's pieces, then its end id
-        per = np.add.reduceat(np.concatenate([size, [0]]), np.minimum(part.w[:-1], len(size))) if part.n else size
-        per = np.where(np.diff(part.w) > 0, per, 0)
-        ends = np.cumsum(per + 1)
-        out = np.full(int(ends[-1]) if part.n else 0, END_ID, np.int32)
-        text = np.repeat(np.arange(part.n), np.diff(part.w))
-        to = np.cumsum(size) - size + text
-        total = int(size.sum())
-        nth = np.arange(total) - np.repeat(np.cumsum(size) - size, size)
-        out[np.repeat(to, size) + nth] = self.ids[np.repeat(self.start[row], size) + nth]
-        return out, ends
+        upto = np.concatenate([[0], np.cumsum(long)])
+        text_ends = upto[part.w[1:]] + np.arange(1, part.n + 1)
+        out = np.full(int(text_ends[-1]) if part.n else 0, END_ID, np.int32)
+        to = upto[:-1] + np.repeat(np.arange(part.n), np.diff(part.w))
+        for k in range(int(long.max(initial=0))):  # the k-th id of all pieces that have as many
+            more = long > k if k else slice(None)
+            if k and not more.any():
+                break
+            if k == 0 and long.min(initial=1) == 0:
+                more = long > 0
+            out[to[more] + k] = self.ids[from_[more] + k]
+        return out, text_ends
 
     def encode_odd(self, text: str) -> np.ndarray:
         return np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, END_ID], np.int32)
 
 
-def _encode(path: str):
-    def run(batches):
-        import os
+_encoders: dict[str, Encoder] = {}
 
+
+def encoder_of(path: str) -> Encoder:
+    """The encoder of this Python worker, which later tasks find with what it has learnt."""
+    if path not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, place = Encoder(path), 0
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
+def _encode(path: str):
+    def run(batches):
+        encoder, place = encoder_of(path), 0
         for batch in batches:
             texts = batch.column(2)
             for part in tb.parts(texts, SLICE_BYTES):
@@ -154,11 +185,11 @@ def _encode(path: str):
     return run
 
 
-def encode_documents(docs: DataFrame, path: str, file_rows: int = FILE_ROWS) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> DataFrame:
     """part, doc_id, place, n_tokens, tokens: ranges of doc_id a part, ascending within."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("_h", F.xxhash64("text"))
-    n = max(1, -(-docs.count() // file_rows))
-    rows = rows.repartitionByRange(n, "doc_id", "_h").sortWithinPartitions("doc_id", "_h")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    n = max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // file_bytes))
+    rows = rows.withColumn("_h", F.xxhash64("text")).repartitionByRange(n, "doc_id", "_h").sortWithinPartitions("doc_id", "_h")
     return rows.select(F.spark_partition_id().alias("part"), "doc_id", "text").mapInArrow(_encode(path), _ROW)
 
 

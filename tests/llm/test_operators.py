@@ -384,3 +384,25 @@ def test_neighbours_all_come_back(spark, monkeypatch, few, k):
     want = exact_neighbours(ids, x)
     assert [v for q, _, v, _ in got if q == 0] == [v for _, v in want[0]] and len(want[0]) == min(k, few - 1)
     assert all(sum(1 for r in got if r[0] == q) == min(k, few - 1) for q in want)
+
+
+def test_pieces_are_cut_where_the_tokenizer_cuts(tokenizer):
+    """Any mix of letters, digits, marks, apostrophes and other characters has the tokenizer's own ids, also when the table of pieces is begun anew."""
+    import pyarrow as pa
+
+    from sievework.llm import textbits as tb
+
+    rng, some = random.Random(6), ["a", "S", "'", "'s", "'ll", "don't", "7", "42", ".", "(", "-'", "é", "ß", "İ", "K", "é", "≠", " ", "\n", "、", "中文", "😀", "\x01", "~", "re", "_", "x1y2", "<|"]
+    texts = ["".join(rng.choice(some) for _ in range(rng.randrange(0, 30))) for _ in range(3000)] + [None, ""]
+    for known in (800_000, 5):
+        encoder = token_files.Encoder(token_files.tokenizer_path())
+        before, token_files.KNOWN_PIECES = token_files.KNOWN_PIECES, known
+        try:
+            for part in tb.parts(pa.array(texts), 2000):
+                ids, ends = encoder.encode(part)
+                for i, got in enumerate(np.split(ids, ends[:-1])):
+                    text = texts[part.at + i] or ""
+                    if not token_files._ODD.search(text.encode()):
+                        assert got.tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 2], text
+        finally:
+            token_files.KNOWN_PIECES = before
