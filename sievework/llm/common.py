@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,24 +15,70 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write a small frame to the checkpoint folder and go on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, which driver and executors share: the one set on the context, or else ``spark.checkpoint.dir``.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; only where none is
-    set (tests on one machine) a temporary folder takes its place.
+    Where neither is set, a session of one process (``local[...]``, as in
+    tests) gets a temporary folder; a cluster gets an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write a frame to the checkpoint folder and go on from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder, which driver and executors share."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return sc.getCheckpointDir()
+@contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """While it lasts, Python tasks that start get Arrow batches of at most ``rows`` rows: for rows that hold much."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, whatever the case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def rows_where(docs: DataFrame, judge) -> DataFrame:
+    """The rows of ``docs``, with all their columns whatever their names, whose texts ``judge`` (an Arrow array of texts to booleans) accepts."""
+    plain, at = docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))), docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(judge(batch.column(at)), pa.bool_()))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
+def few(df: DataFrame, at_most: int) -> DataFrame:
+    """``df`` with the hint to broadcast it if it has no more rows than that."""
+    return F.broadcast(df) if df.count() <= at_most else df
+
+
+def joined(rows: DataFrame, table: DataFrame, key: str, at_most: int, salts: int = 16) -> DataFrame:
+    """``rows`` left-joined with ``table`` (a row a key): by broadcast where it is small, else so that a hot key's rows go to several tasks."""
+    if table.count() <= at_most:
+        return rows.join(F.broadcast(table), key, "left")
+    salt = fresh(rows, "salt")
+    spread = table.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn(salt, F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int")).join(spread, [key, salt], "left").drop(salt)
 
 
 def fold_of(doc_id: Column, folds: int) -> Column:

@@ -8,12 +8,18 @@ patterns that end in it, and a direct comparison of all m words confirms an
 occurrence. A document's words are cut into stretches with a cursor each, and
 all cursors of a slice move at once.
 
-The benchmark travels to the tasks in blocks of bounded bytes, one scan of the
-documents a block; hits of several blocks are united per document.
+The benchmark travels to the tasks in blocks of bounded bytes, one after the
+other: a block is compiled, sent, scanned for, and let go before the next one
+comes to the driver. Only documents with hits leave a row; hits of several
+blocks are united per document.
 
 Null and empty texts have no words and no hits. Items without words have no
-window. Items or documents that repeat are treated row by row (equal item_ids
-count once). An empty benchmark marks nothing. Extra columns are not read.
+window, items without id are left out. Documents that repeat are judged row by
+row, equal item_ids count once, whatever the number of their rows, and windows
+that several items share name all of them. Overlapping occurrences hit a word
+once. A very long text is a slice of its own, cut into stretches. An empty
+benchmark marks nothing, an empty table gives no rows. Extra columns, whatever
+their names, are not read; ``clean_documents`` keeps them.
 """
 
 from __future__ import annotations
@@ -22,15 +28,19 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textbits as tb
-from .common import cut
+from .common import cut, few, fresh, rows_where
 
 WINDOW = 13
-#: Bytes of benchmark text that one scan carries.
-BLOCK_BYTES = 16 << 20
+#: Bytes of benchmark text that one scan carries; compiled they take about ten times as much.
+BLOCK_BYTES = 4 << 20
+#: Documents with hits that may be broadcast.
+BROADCAST_ROWS = 500_000
+#: Occurrences whose bytes are compared at once.
+_COMPARED = 20_000
 _STRETCH = 512
 _TABLE_BITS = 18
 
@@ -43,24 +53,62 @@ def _block_hash(h: np.ndarray, end: np.ndarray, width: int) -> np.ndarray:
     return (tb.mix(x) >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
 
 
-class Patterns:
-    """All windows of one length: a shift table, suffix buckets, and the words to compare."""
+class Words:
+    """The words of some texts: hashes, sizes, and their bytes end to end, word i's from ``place[i]``."""
+
+    def __init__(self, part: tb.Slice):
+        part.words(tb.ALNUM)
+        self.hash, self.w, self.size = part.hashes(), part.w, part.ends - part.starts
+        self.place = np.concatenate([[0], np.cumsum(self.size)])
+        self.bytes = part.buf[tb.ALNUM[part.buf]]
 
-    def __init__(self, words: np.ndarray, items: list[list[int]]):
-        self.words, self.items, self.m = words, items, words.shape[1]
-        self.width = min(2, self.m)
-        jump = self.m - self.width + 1
+
+class Patterns:
+    """All distinct windows of one length: a shift table, suffix buckets, and the words to compare.
+
+    ``at`` is the first word of each window in ``words``; window k's items are ``item[held[k]:held[k + 1]]``.
+    """
+
+    def __init__(self, words: Words, m: int, at: np.ndarray, item: np.ndarray):
+        self.words, self.m, self.width = words, m, min(2, m)
+        mixed = np.zeros(len(at), np.uint64)
+        for k in range(m):
+            mixed = tb.mix(mixed + words.hash[at + k])
+        order = np.lexsort((item, mixed))
+        at, item, mixed = at[order], item[order], mixed[order]
+        new = np.ones(len(at), bool)
+        new[1:] = mixed[1:] != mixed[:-1]
+        for k in range(m):  # windows of one hash with other words stay apart
+            new[1:] |= words.hash[at[1:] + k] != words.hash[at[:-1] + k]
+        self.at, self.item, self.held = at[new], item, np.concatenate([np.flatnonzero(new), [len(at)]])
+        jump = m - self.width + 1
         self.shift = np.full(1 << _TABLE_BITS, jump, np.int32)
-        for end in range(self.width - 1, self.m):
-            np.minimum.at(self.shift, _block_hash(words.T, np.array(end), self.width), self.m - 1 - end)
-        suffix = _block_hash(words.T, np.array(self.m - 1), self.width)
-        order = np.argsort(suffix, kind="stable")
-        self.ids = order
-        self.bucket = np.searchsorted(suffix[order], np.arange((1 << _TABLE_BITS) + 1))
-
-    def find(self, h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start word, pattern) of every occurrence in documents whose words are h[w[i]:w[i+1]]."""
-        m = self.m
+        for end in range(self.width - 1, m):
+            np.minimum.at(self.shift, _block_hash(words.hash, self.at + end, self.width), m - 1 - end)
+        suffix = _block_hash(words.hash, self.at + m - 1, self.width)
+        self.ids = np.argsort(suffix, kind="stable")
+        self.bucket = np.searchsorted(suffix[self.ids], np.arange((1 << _TABLE_BITS) + 1))
+
+    def _same(self, text: Words, end: np.ndarray, pattern: np.ndarray) -> np.ndarray:
+        """Whether the windows that end at ``end`` are the patterns, word by word and then byte by byte."""
+        same, at = np.ones(len(end), bool), self.at[pattern]
+        for k in range(self.m):
+            i, j = end - self.m + 1 + k, at + k
+            same &= (text.hash[i] == self.words.hash[j]) & (text.size[i] == self.words.size[j])
+        kept = np.flatnonzero(same)
+        for lo in range(0, len(kept), _COMPARED):
+            some = kept[lo : lo + _COMPARED]
+            a, b = text.place[end[some] - self.m + 1], self.words.place[at[some]]
+            size = text.place[end[some] + 1] - a
+            upto = np.cumsum(size) - size
+            nth = np.arange(int(size.sum())) - np.repeat(upto, size)
+            equal = text.bytes[np.repeat(a, size) + nth] == self.words.bytes[np.repeat(b, size) + nth]
+            same[some] = np.logical_and.reduceat(equal, upto)
+        return same
+
+    def find(self, text: Words) -> tuple[np.ndarray, np.ndarray]:
+        """(start word, pattern) of every occurrence in the texts."""
+        m, h, w = self.m, text.hash, text.w
         first, last = w[:-1] + m - 1, w[1:]  # ends of windows
         many = np.maximum(0, -(-(last - first) // _STRETCH))
         doc = np.repeat(np.arange(len(many)), many)
@@ -78,9 +126,7 @@ class Patterns:
                 end = np.repeat(end, many)
                 nth = np.arange(len(end)) - np.repeat(np.cumsum(many) - many, many)
                 pattern = self.ids[np.repeat(self.bucket[block], many) + nth]
-                same = np.ones(len(end), bool)
-                for k in range(m):
-                    same &= h[end - k] == self.words[pattern, m - 1 - k]
+                same = self._same(text, end, pattern)
                 starts.append(end[same] - m + 1), found.append(pattern[same])
             at = at + np.maximum(shift, 1)
             on = at < stop
@@ -91,30 +137,33 @@ class Patterns:
 
 
 def compile_patterns(items: list[tuple[int, str | None]], window: int = WINDOW) -> list[Patterns]:
-    by_length: dict[int, dict[bytes, tuple[np.ndarray, set[int]]]] = {}
-    for part in tb.parts(pa.array([t for _, t in items], pa.string())):
-        part.words(tb.ALNUM)
-        h = part.hashes()
-        for i in range(part.n):
-            x = h[part.w[i] : part.w[i + 1]]
-            m = min(window, len(x))
-            for k in range(len(x) - m + 1 if m else 0):
-                y = x[k : k + m]
-                by_length.setdefault(m, {}).setdefault(y.tobytes(), (y, set()))[1].add(items[part.at + i][0])
-    return [Patterns(np.stack([y for y, _ in p.values()]), [sorted(s) for _, s in p.values()]) for _, p in sorted(by_length.items())]
+    """The windows of the items, by their length."""
+    by_length: dict[int, list[tuple[Words, np.ndarray, np.ndarray]]] = {}
+    texts = pa.array([t for _, t in items], pa.string())
+    for part in tb.parts(texts, 1 << 40):
+        words, ids = Words(part), np.array([i for i, _ in items], np.int64)
+        n = np.diff(words.w)
+        m = np.minimum(window, n)
+        many = np.where(n > 0, n - m + 1, 0)
+        item = np.repeat(np.arange(part.n), many)
+        at = words.w[:-1][item] + np.arange(len(item)) - np.repeat(np.cumsum(many) - many, many)
+        for size in np.unique(m[n > 0]).tolist():
+            of = m[item] == size
+            by_length.setdefault(size, []).append((words, at[of], ids[item[of]]))
+    return [Patterns(words, size, at, item) for size, some in sorted(by_length.items()) for words, at, item in some]
 
 
 def scan(part: tb.Slice, patterns: list[Patterns]) -> list[tuple[int, np.ndarray, set[int]]]:
     """For each text of the slice: number of words, the words hit (ascending), the items found."""
-    part.words(tb.ALNUM)
-    h, w = part.hashes(), part.w
-    hit, items = np.zeros(len(h) + 1, np.int32), [set() for _ in range(part.n)]
+    text = Words(part)
+    w = text.w
+    hit, items = np.zeros(len(text.hash) + 1, np.int32), [set() for _ in range(part.n)]
     for p in patterns:
-        starts, found = p.find(h, w)
+        starts, found = p.find(text)
         np.add.at(hit, starts, 1)
         np.add.at(hit, starts + p.m, -1)
         for d, k in set(zip((np.searchsorted(w, starts, "right") - 1).tolist(), found.tolist(), strict=True)):
-            items[d].update(p.items[k])
+            items[d].update(p.item[p.held[k] : p.held[k + 1]].tolist())
     covered = np.cumsum(hit[:-1]) > 0
     return [(int(w[i + 1] - w[i]), np.flatnonzero(covered[w[i] : w[i + 1]]), items[i]) for i in range(part.n)]
 
@@ -124,14 +173,18 @@ def _judge(n_words: int, n_hit: int, items) -> tuple[int, int, int, str, bool]:
     return n_words, n_hit, len(items), hashlib.sha256(names.encode()).hexdigest(), n_hit > 0 and 20 * n_hit >= n_words
 
 
-def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES):
-    """Compiled patterns of the benchmark, a block of bounded bytes at a time."""
-    items = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
-    for k in range(blocks):
-        part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        yield compile_patterns([(r.item_id, r.text) for r in part.collect()])
+class Benchmark:
+    """The items, and how many blocks of bounded bytes they make. Any one block is compiled when it is asked for."""
+
+    def __init__(self, benchmark: DataFrame, block_bytes: int):
+        items = benchmark.filter("item_id is not null and text is not null")
+        self.items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+        total = self.items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        self.blocks = max(1, -(-total // block_bytes))
+
+    def block(self, k: int) -> list[Patterns]:
+        part = self.items if self.blocks == 1 else self.items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(self.blocks)) == k)
+        return compile_patterns([(r.item_id, r.text) for r in part.collect()])  # a block's bytes at most
 
 
 def _one_scan(patterns):
@@ -150,60 +203,79 @@ def _one_scan(patterns):
 
 
 def _hits_scan(patterns):
+    """row, words hit, items found, of the texts with any."""
+
     def run(batches):
         p = patterns.value
         for batch in batches:
-            rows = [x for part in tb.parts(batch.column(1)) for x in scan(part, p)]
+            some = [x for part in tb.parts(batch.column(1)) for x in scan(part, p)]
+            at = [i for i, x in enumerate(some) if len(x[1])]
             yield pa.RecordBatch.from_arrays(
                 [
-                    *(batch.column(k) for k in (0, 2)),
-                    pa.array([x[0] for x in rows], pa.int64()),
-                    pa.array([x[1] for x in rows], pa.list_(pa.int64())),
-                    pa.array([sorted(x[2]) for x in rows], pa.list_(pa.int64())),
+                    batch.column(0).take(pa.array(at, pa.int64())),
+                    pa.array([some[i][1] for i in at], pa.list_(pa.int64())),
+                    pa.array([sorted(some[i][2]) for i in at], pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "row", "n_words", "hit", "items"],
+                names=["row", "hit", "items"],
             )
 
     return run
 
 
+def _word_counts(batches):
+    for batch in batches:
+        n = [np.diff(Words(part).w) for part in tb.parts(batch.column(2))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(n) if n else [], pa.int64())], names=["doc_id", "row", "n_words"])
+
+
 _RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row of ``docs`` (doc_id, text)."""
+def _row() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def _of_blocks(docs: DataFrame, items: Benchmark) -> DataFrame:
+    """row (a hash of id and text) and _RESULT for each row of ``docs``, by a scan a block."""
     sc = docs.sparkSession.sparkContext
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    blocks = list(benchmark_blocks(benchmark, block_bytes))
-    if len(blocks) == 1:
-        return texts.mapInArrow(_one_scan(sc.broadcast(blocks[0])), _RESULT)
-    texts = texts.withColumn("row", F.xxhash64("doc_id", "text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", _row())
     found = None
-    for patterns in blocks:
-        one = texts.mapInArrow(_hits_scan(sc.broadcast(patterns)), "doc_id long, row long, n_words long, hit array<long>, items array<long>")
+    for k in range(items.blocks):
+        held = sc.broadcast(items.block(k))
+        one = rows.select("row", "text").mapInArrow(_hits_scan(held), "row long, hit array<long>, items array<long>").dropDuplicates(["row"])
+        one = cut(one)  # this block's hits are written before the next block comes
+        held.destroy()
         found = one if found is None else found.unionByName(one)
-    found = cut(found)
-    same = ["doc_id", "row", "n_words"]
-    union = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
-    many = found.groupBy(*same).agg((F.count("*") / len(blocks)).cast("int").alias("copies"), F.size(union("hit")).cast("long").alias("n_hit"), union("items").alias("items"))
-    names = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
-    return many.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+    union = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))  # noqa: E731  # a row a block at most
+    found = cut(found.groupBy("row").agg(F.size(union("hit")).cast("long").alias("n_hit"), union("items").alias("items")))
+    counted = rows.select("doc_id", "row", "text").mapInArrow(_word_counts, "doc_id long, row long, n_words long")
+    n_hit, items = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<long>"))
+    names = F.array_join(F.array_sort(F.transform(items, lambda i: i.cast("string"))), ",")
+    return counted.join(few(found, BROADCAST_ROWS), "row", "left").select(
+        "row", "doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"),
+        ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
     )
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row of ``docs`` (doc_id, text)."""
+    items = Benchmark(benchmark, block_bytes)
+    if items.blocks > 1:
+        return _of_blocks(docs, items).drop("row")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return texts.mapInArrow(_one_scan(docs.sparkSession.sparkContext.broadcast(items.block(0))), _RESULT)
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns."""
-    blocks, at = list(benchmark_blocks(benchmark)), docs.columns.index("text")
-    if len(blocks) > 1:  # hits of several blocks add up: judge them together first
-        bad = contamination(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-        return docs.join(bad, docs["doc_id"] == F.col("_bad"), "left_anti")
-    held = docs.sparkSession.sparkContext.broadcast(blocks[0])
+    items = Benchmark(benchmark, block_bytes)
+    if items.blocks > 1:  # hits of several blocks add up: judge them together first
+        row = fresh(docs, "row")
+        bad = cut(_of_blocks(docs, items).filter("contaminated").select(F.col("row").alias(row)).distinct())
+        return docs.withColumn(row, _row()).join(few(bad, BROADCAST_ROWS), row, "left_anti").drop(row)
+    held = docs.sparkSession.sparkContext.broadcast(items.block(0))
 
-    def run(batches):
-        for batch in batches:
-            keep = [not _judge(n, len(hit), items)[4] for part in tb.parts(batch.column(at)) for n, hit, items in scan(part, held.value)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+    def clean(texts):
+        return [not _judge(n, len(hit), found)[4] for part in tb.parts(texts) for n, hit, found in scan(part, held.value)]
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows_where(docs, clean)

@@ -12,7 +12,7 @@ ORACLES: dict[str, str] = {}
 ORACLES["op3_mixing_sources"] = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         sha256(coalesce(doc_id::VARCHAR, '')) AS key
+         sha256(coalesce(doc_id::VARCHAR, '') || chr(31) || coalesce(text, '')) AS key
   FROM documents
 ), per AS (
   SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n,
@@ -43,18 +43,18 @@ WITH dw AS (
 ), iw AS (
   SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM benchmark
 ), items AS (
-  SELECT item_id, w, least(13, len(w)) AS m, unnest(range(0, len(w) - least(13, len(w)) + 1)) AS at FROM iw WHERE len(w) > 0
+  SELECT item_id, w, least(13, len(w)) AS m, unnest(range(0, len(w) - least(13, len(w)) + 1)) AS pos0 FROM iw WHERE len(w) > 0
 ), windows AS (
-  SELECT DISTINCT item_id, m, array_to_string(w[at + 1:at + m], ' ') AS words FROM items
+  SELECT DISTINCT item_id, m, array_to_string(w[pos0 + 1:pos0 + m], ' ') AS words FROM items
 ), lengths AS (
   SELECT DISTINCT m FROM windows
 ), places AS (
-  SELECT doc_id, m, at, array_to_string(w[at + 1:at + m], ' ') AS words
-  FROM (SELECT doc_id, w, m, unnest(range(0, greatest(0, len(w) - m + 1))) AS at FROM dw, lengths)
+  SELECT doc_id, m, pos0, array_to_string(w[pos0 + 1:pos0 + m], ' ') AS words
+  FROM (SELECT doc_id, w, m, unnest(range(0, greatest(0, len(w) - m + 1))) AS pos0 FROM dw, lengths)
 ), found AS (
-  SELECT p.doc_id, p.at, p.m, i.item_id FROM places p JOIN windows i ON p.m = i.m AND p.words = i.words
+  SELECT p.doc_id, p.pos0, p.m, i.item_id FROM places p JOIN windows i ON p.m = i.m AND p.words = i.words
 ), hits AS (
-  SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(at, at + m)) AS pos FROM found) GROUP BY doc_id
+  SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(pos0, pos0 + m)) AS pos FROM found) GROUP BY doc_id
 ), names AS (
   SELECT doc_id, count(*) AS n_items, sha256(string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR)) AS items_sha256
   FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id
