@@ -1,27 +1,36 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and six-byte grams within words (A-Z lower-cased). Those that
-go with toxic labels (chi-square) make the vocabulary; document frequencies of
-the vocabulary are counted over all documents. Labelled examples form an
-inverted index in blocks with the largest weight of each term per block. For a
-document, blocks are opened in order of their upper bound until no further
+Terms are words (A-Z lower-cased) and the first five bytes of longer words. All
+terms of the labelled examples count that are in two of them at least and in
+``MOST_SHARE`` of them at most; nothing else is cut. A term's weight is its
+logarithmic frequency in the text, times its inverse document frequency over all
+documents, times how far its examples' labels lean from chance in either
+direction (standard deviations). Labelled examples form an inverted index in
+blocks, with the largest weight of each term in each block where it occurs. For
+a document, blocks are opened in order of their upper bound until no further
 block can reach the k-th best similarity, so the k nearest are exact. Their
-votes, weighted by similarity, and the share of toxic examples that have no
-vocabulary term as prior, give the score.
+votes, weighted by squared similarity, and the share of toxic examples as prior
+give the score.
 
 ``FIT_EXAMPLES`` labelled documents (those of smallest id hash) are used at
-most; labels of the held-out fold never are. The label is never looked up for
-the document scored; an example does not vote for itself as it is a text among
-others (a fitted document may meet its own example, a held-out one cannot).
-
-Null and empty texts hold no term and get the prior. If no labels exist, every
-score is 0. Rows that repeat are scored each. Extra columns are not read.
+most, each once however often it repeats; of an id's several labels the larger
+counts, of its several texts the smallest. Labels of the held-out fold never
+count. The label is never looked up for the document scored; an example does not
+vote for itself as it is a text among others (a fitted document may meet its own
+example, a held-out one cannot).
+
+Null and empty texts hold no term and get the prior. A very long text is a slice
+of its own. Of equally near examples the earlier in the index votes. If no
+labels exist, every score is 0; if all are of one kind, it is that kind's share.
+Rows that repeat are scored each; an empty table gives no rows. Extra columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,29 +39,25 @@ from .common import cut, fold_of
 
 FOLDS, HELD_OUT = 4, 2
 FIT_EXAMPLES = 8_000
-VOCABULARY = 2_048
-LEAST_CHI, LEAST_DF = 40.0, 4
-NEIGHBOURS, BLOCK = 15, 64
+LEAST_DF, MOST_SHARE = 2, 0.05
+NEIGHBOURS, BLOCK = 30, 64
 THRESHOLD = 0.3
 PRIOR_WEIGHT = 0.25
-_GRAM = 6
+_PREFIX = 5
+#: Blocks that are opened at first, for a k-th best that others must reach.
+_OPENED = 4
 
 
 def _terms(part: tb.Slice) -> tuple[np.ndarray, np.ndarray]:
-    """(text, term) of every word and gram of the slice's texts, texts ascending within each of the two kinds."""
+    """(text, term) of every word and prefix of the slice's texts."""
     part.words(tb.ALNUM)
     h = part.hashes()
-    word_text = np.repeat(np.arange(part.n), np.diff(part.w))
-    b = part.buf.astype(np.uint64)
-    if len(b) < _GRAM:
-        return word_text, h
-    two = b[:-1] | (b[1:] << np.uint64(8))
-    four = two[:-2] | (two[2:] << np.uint64(16))
-    six = four[:-2] | (two[4:] << np.uint64(32))
-    inside = np.cumsum(np.concatenate([[0], ~tb.ALNUM[part.buf]]))
-    at = np.flatnonzero(inside[_GRAM:] == inside[:-_GRAM])
-    text = np.searchsorted(part.first, at, "right") - 1
-    return np.concatenate([word_text, text]), np.concatenate([h, tb.mix(six[at])])
+    text = np.repeat(np.arange(part.n), np.diff(part.w))
+    longer = np.flatnonzero(part.ends - part.starts > _PREFIX)
+    x = np.full(len(longer), 0x5052, np.uint64)
+    for k in range(_PREFIX):
+        x = (x << np.uint64(8)) | part.buf[part.starts[longer] + k]
+    return np.concatenate([text, text[longer]]), np.concatenate([h, tb.mix(x)])
 
 
 def _term_counts(batches):
@@ -77,17 +82,18 @@ def _term_counts(batches):
 
 
 class Lookup:
-    """Maps terms to vocabulary numbers; most terms fail a bit test first."""
+    """Maps terms to vocabulary numbers; most other terms fail a bit test first."""
 
     def __init__(self, vocabulary: np.ndarray):
-        self.terms = np.sort(vocabulary)
-        self.gate = np.zeros(1 << 20, bool)
-        self.gate[(self.terms >> np.uint64(44)).astype(np.int64)] = True
+        self.terms, self.gate = np.sort(vocabulary), None
 
     def counts(self, part: tb.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, vocabulary number, count), ascending."""
+        if self.gate is None:
+            self.gate = np.zeros(1 << 22, bool)
+            self.gate[(self.terms >> np.uint64(42)).astype(np.int64)] = True
         text, term = _terms(part)
-        maybe = np.flatnonzero(self.gate[(term >> np.uint64(44)).astype(np.int64)])
+        maybe = np.flatnonzero(self.gate[(term >> np.uint64(42)).astype(np.int64)])
         text, term = text[maybe], term[maybe]
         at = np.searchsorted(self.terms, term)
         ok = at < len(self.terms)
@@ -96,43 +102,58 @@ class Lookup:
         return pair // max(1, len(self.terms)), pair % max(1, len(self.terms)), many
 
 
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges lo:hi, one after the other."""
+    n = hi - lo
+    return np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
 class Index:
-    """Examples as unit vectors in postings by term, cut into blocks of examples."""
+    """Examples as unit vectors in postings by term and block of examples, with the largest weight of each such list.
+
+    ``start``, ``term``, ``weight``: example i's terms and weights, in ``start[i]:start[i + 1]``.
+    """
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ids: np.ndarray, terms: int, prior: float):
+    def __init__(self, start: np.ndarray, term: np.ndarray, weight: np.ndarray, labels: np.ndarray, ids: np.ndarray, terms: int, prior: float):
+        n = len(ids)
         # like examples side by side, so that a block's maxima are tight
-        lead = [(int(t[np.argmax(w)]), len(t)) for t, w in vectors]
-        order = sorted(range(len(vectors)), key=lambda i: (lead[i], int(ids[i])))
-        self.labels, self.ids, self.prior = labels[order].astype(float), ids[order], prior
-        blocks = -(-len(order) // BLOCK)
-        self.most = np.zeros((terms, blocks))
-        at = np.concatenate([np.full(len(vectors[i][0]), n) for n, i in enumerate(order)]) if order else np.empty(0, np.int64)
-        term = np.concatenate([vectors[i][0] for i in order]) if order else np.empty(0, np.int64)
-        weight = np.concatenate([vectors[i][1] for i in order]) if order else np.empty(0)
-        np.maximum.at(self.most, (term, at // BLOCK), weight)
-        by = np.lexsort((at, term))
-        self.at, self.weight = at[by], weight[by]
-        self.offset = np.searchsorted(term[by] * (blocks + 1) + self.at // BLOCK, np.arange(terms)[:, None] * (blocks + 1) + np.arange(blocks + 1)[None])
-        self.blocks = blocks
+        lead = np.array([term[a + np.argmax(weight[a:b])] if b > a else -1 for a, b in zip(start[:-1], start[1:], strict=True)], np.int64)
+        order = np.lexsort((ids, lead))
+        self.labels, self.ids, self.prior, self.blocks = labels[order].astype(float), ids[order], prior, -(-n // BLOCK)
+        size = np.diff(start)[order]
+        at, where = np.repeat(np.arange(n), size), _ranges(start[:-1][order], start[1:][order])
+        by = np.lexsort((at, term[where]))
+        self.at, self.weight = at[by].astype(np.int32), weight[where][by]
+        key = term[where][by] * (self.blocks + 1) + self.at // BLOCK
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+        #: List j holds the postings list[j]:list[j + 1], all of block block[j]; term t's lists are of[t]:of[t + 1].
+        self.list = np.concatenate([first, [len(key)]])
+        self.block = (key[first] % (self.blocks + 1)).astype(np.int32)
+        self.most = np.maximum.reduceat(self.weight, first) if len(key) else np.empty(0, weight.dtype)
+        self.of = np.searchsorted(key[first] // (self.blocks + 1), np.arange(terms + 1))
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """(example, similarity) of the k most similar examples of similarity above 0, ties to the earlier example."""
-        bound = weights @ self.most[terms]
-        sims: np.ndarray = np.empty(0)
-        who: np.ndarray = np.empty(0, np.int64)
-        worst = 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(sims) == k and bound[b] < worst - 1e-12):
-                break
-            score = np.zeros(BLOCK)
-            for t, w in zip(terms, weights, strict=True):
-                lo, hi = self.offset[t, b], self.offset[t, b + 1]
-                if lo < hi:
-                    score[self.at[lo:hi] - b * BLOCK] += w * self.weight[lo:hi]
+        lo, hi = self.of[terms], self.of[terms + 1]
+        lists, w = _ranges(lo, hi), np.repeat(weights, hi - lo)
+        bound = np.bincount(self.block[lists], w * self.most[lists], self.blocks)
+        rank = np.empty(self.blocks, np.int64)
+        rank[np.argsort(-bound, kind="stable")] = np.arange(self.blocks)
+        place = rank[self.block[lists]]
+        sims, who, worst, done = np.empty(0), np.empty(0, np.int64), 0.0, 0
+        for upto in (_OPENED, int((bound > 0).sum())):  # some blocks for a first k-th best, then those that can still reach it
+            if done and len(sims) == k:
+                upto = int((bound >= worst - 1e-12).sum())
+            mine = np.flatnonzero((place >= done) & (place < upto))
+            if not len(mine):
+                continue
+            a, b = self.list[lists[mine]], self.list[lists[mine] + 1]
+            posts = _ranges(a, b)
+            score = np.bincount(self.at[posts], np.repeat(w[mine], b - a) * self.weight[posts], len(self.ids))
             near = np.flatnonzero(score > max(0.0, worst - 1e-12))
-            sims, who = np.concatenate([sims, score[near]]), np.concatenate([who, near + b * BLOCK])
+            sims, who = np.concatenate([sims, score[near]]), np.concatenate([who, near])
             best = np.lexsort((who, -sims))[:k]
-            sims, who = sims[best], who[best]
+            sims, who, done = sims[best], who[best], upto
             worst = sims[-1] if len(sims) == k else 0.0
         return who, sims
 
@@ -145,13 +166,15 @@ class Index:
 
 
 class Model:
-    def __init__(self, lookup: Lookup, idf: np.ndarray):
-        self.lookup, self.idf, self.index = lookup, idf, None
+    def __init__(self, lookup: Lookup, factor: np.ndarray):
+        self.lookup, self.factor, self.index = lookup, factor, None
 
     def vectors(self, part: tb.Slice):
         """For each text: its terms and unit weights."""
         text, term, many = self.lookup.counts(part)
-        weight = (1 + np.log(many)) * self.idf[term]
+        weight = (1 + np.log(many)) * self.factor[term]
+        some = weight > 0
+        text, term, weight = text[some], term[some], weight[some]
         cuts = np.searchsorted(text, np.arange(part.n + 1))
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             w = weight[a:b]
@@ -159,6 +182,8 @@ class Model:
 
 
 def _frequencies(lookup):
+    """(term, texts that hold it) of a task's texts, and their number as term -1."""
+
     def run(batches):
         held = lookup.value
         n, df = 0, np.zeros(len(held.terms), np.int64)
@@ -166,7 +191,8 @@ def _frequencies(lookup):
             n += batch.num_rows
             for part in tb.parts(batch.column(0)):
                 df += np.bincount(held.counts(part)[1], minlength=len(df))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(df))), pa.array(np.concatenate([[n], df]))], names=["term", "df"])
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], some])), pa.array(np.concatenate([[n], df[some]]))], names=["term", "df"])
 
     return run
 
@@ -193,45 +219,50 @@ def _score(model):
     return run
 
 
+def _leaning(n: np.ndarray, toxic: np.ndarray, examples: float, bad: float) -> np.ndarray:
+    """How many standard deviations a term's share of toxic examples lies from chance, in either direction, to the power 1.5."""
+    share = bad / examples
+    return (np.abs(toxic - n * share) / np.sqrt(np.maximum(n * share * (1 - share) * (1 - n / examples), 1e-12))) ** 1.5
+
+
 def fit(docs: DataFrame, labels: DataFrame, examples: int = FIT_EXAMPLES) -> Model:
-    """Vocabulary, document frequencies and index from the labelled rows outside the held-out fold."""
+    """Terms, document frequencies and index from the labelled rows outside the held-out fold."""
     spark = docs.sparkSession
     rows = labels.filter("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    rows = rows.filter(fold_of(F.col("doc_id"), FOLDS) != HELD_OUT).dropDuplicates(["doc_id"])
+    rows = rows.filter(fold_of(F.col("doc_id"), FOLDS) != HELD_OUT).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples)  # bounded, so it may be broadcast
-    train = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "toxic", "text"))
-    totals = train.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
-    n, bad = float(totals.n), float(totals.toxic or 0)
-    counted = train.select("toxic", "text").mapInArrow(_term_counts, "term long, n long, toxic long").groupBy("term").agg(F.sum("n").cast("double").alias("n"), F.sum("toxic").cast("double").alias("a"))
-    b, c, d = F.col("n") - F.col("a"), bad - F.col("a"), (n - bad) - (F.col("n") - F.col("a"))
-    chi = n * F.pow(F.col("a") * d - b * c, 2) / (F.col("n") * (n - F.col("n")) * bad * (n - bad))
-    if bad and bad < n:
-        chosen = counted.filter((F.col("n") >= LEAST_DF) & (F.col("n") < n) & (F.col("a") * (n - bad) > b * bad)).withColumn("chi", chi).filter(F.col("chi") >= LEAST_CHI)
-        terms = [r.term for r in chosen.orderBy(F.desc("chi"), "term").limit(VOCABULARY).select("term").collect()]
-    else:
-        terms = []
-    lookup = Lookup(tb.unsigned(np.array(terms, np.int64)))
-    held = spark.sparkContext.broadcast(lookup)
-    df = docs.select(F.col("text").cast("string")).mapInArrow(_frequencies(held), "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
-    got = {r.term: r.df for r in df.collect()}  # a row a vocabulary term
-    total = got.get(-1, 0)
-    model = Model(lookup, np.array([1 + np.log((total + 1) / (got.get(i, 0) + 1)) for i in range(len(terms))]))
-    examples_held = spark.sparkContext.broadcast(model)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    train = cut(texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")))
+    n, bad = (float(x or 0) for x in train.agg(F.count("*"), F.sum("toxic")).first())
+    terms, factor = np.empty(0, np.uint64), np.empty(0)
+    if 0 < bad < n:
+        counted = train.select("toxic", "text").mapInArrow(_term_counts, "term long, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("a"))
+        got = counted.filter(F.col("n").between(LEAST_DF, max(10, int(MOST_SHARE * n)))).toArrow()  # the terms of the examples, a bounded number of texts
+        terms = tb.unsigned(got["term"].to_numpy())
+        order = np.argsort(terms)
+        terms, factor = terms[order], _leaning(got["n"].to_numpy()[order].astype(float), got["a"].to_numpy()[order].astype(float), n, bad)
+        df, total = np.zeros(len(terms)), 0
+        counted = docs.select(F.col("text").cast("string")).mapInArrow(_frequencies(spark.sparkContext.broadcast(Lookup(terms))), "term long, df long")
+        counted = counted.groupBy("term").agg(F.sum("df").alias("df")).toArrow()  # a row a term
+        at, many = counted["term"].to_numpy(), counted["df"].to_numpy()
+        df[at[at >= 0]], total = many[at >= 0], int(many[at < 0].sum())
+        factor = factor * (1 + np.log((total + 1) / (df + 1)))
+    model = Model(Lookup(terms), factor)
+    held = spark.sparkContext.broadcast(model)
 
     def vectors(batches):
         for batch in batches:
-            rows = [x for part in tb.parts(batch.column(2)) for x in examples_held.value.vectors(part)]
+            rows = [x for part in tb.parts(batch.column(2)) for x in held.value.vectors(part)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([t for t, _ in rows], pa.list_(pa.int64())), pa.array([w for _, w in rows], pa.list_(pa.float64()))],
+                [batch.column(0), batch.column(1), pa.array([t for t, _ in rows], pa.list_(pa.int64())), pa.array([w.astype(np.float32) for _, w in rows], pa.list_(pa.float32()))],
                 names=["doc_id", "toxic", "terms", "weights"],
             )
 
-    rows = train.mapInArrow(vectors, "doc_id long, toxic int, terms array<long>, weights array<double>").collect()  # FIT_EXAMPLES rows at most
-    empty = [r.toxic for r in rows if not r.terms]
-    full = [r for r in rows if r.terms]
-    prior = (sum(empty) + 0.5 * (bad / n if n else 0)) / (len(empty) + 0.5) if rows else 0.0
+    got = train.mapInArrow(vectors, "doc_id long, toxic int, terms array<long>, weights array<float>").toArrow().combine_chunks()  # as many rows as examples
+    size = pa.compute.list_value_length(got["terms"]).to_numpy()
+    flat = lambda c, kind: pa.compute.list_flatten(got[c]).to_numpy().astype(kind)
     model.index = Index(
-        [(np.array(r.terms), np.array(r.weights)) for r in full], np.array([r.toxic for r in full]), np.array([r.doc_id for r in full], np.int64), len(terms), float(prior)
+        np.concatenate([[0], np.cumsum(size)]).astype(np.int64), flat("terms", np.int64), flat("weights", np.float32), got["toxic"].to_numpy(), got["doc_id"].to_numpy(), len(terms), bad / n if n else 0.0
     )
     return model
 
