@@ -6,10 +6,14 @@ arrays (complete binary trees), and a batch of documents walks all trees at
 once with numpy.
 
 ``FIT_ROWS`` labelled documents (those of smallest id hash outside the held-out
-fold) are used at most. Null and empty texts have all-zero statistics and get
-the model's score of those. Without labels, or with labels of one kind only,
-the score is that kind's smoothed share. Rows that repeat are scored each.
-Extra columns are not read; ``good_documents`` keeps them.
+fold) are used at most, each once however often it repeats; of an id's several
+labels the larger counts, of its several texts the smallest. Null and empty
+texts have all-zero statistics and get the model's score of those. A very long
+text is a slice of its own. Without labels, or with labels of one kind only,
+the score is that kind's smoothed share. Of splits of equal gain the one of the
+first statistic and lowest bin is taken. Rows that repeat are scored each; an
+empty table gives no rows. Extra columns, whatever their names, are not read;
+``good_documents`` keeps them.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbits as tb
-from .common import fold_of
+from .common import fold_of, rows_where
 
 FOLDS, HELD_OUT = 5, 0
 FIT_ROWS = 12_000
@@ -144,9 +148,11 @@ def _fit_rows(batches):
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Trees:
     rows = labels.filter("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y"))
-    rows = rows.filter(fold_of(F.col("doc_id"), FOLDS) != HELD_OUT).dropDuplicates(["doc_id"])
+    rows = rows.filter(fold_of(F.col("doc_id"), FOLDS) != HELD_OUT).groupBy("doc_id").agg(F.max("y").alias("y"))
     picked = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)  # bounded, so it may be broadcast
-    train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("doc_id", "y", "text")
+    train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    # a document that repeats is fitted once, and of several texts of an id the smallest, so that fit_rows bounds what comes to the driver
+    train = train.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
     got = train.select("y", "text").mapInArrow(_fit_rows, "y int, x array<double>").toArrow()
     y = got["y"].to_numpy().astype(float)
     x = got["x"].combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES)) if len(y) else np.empty((0, len(FEATURES)))
@@ -173,11 +179,10 @@ def quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Dat
 
 def good_documents(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """The rows of ``docs`` whose score reaches the threshold, with all their columns."""
-    trees, at = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, fit_rows)), docs.columns.index("text")
+    trees = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, fit_rows))
 
-    def run(batches):
-        for batch in batches:
-            keep = [trees.value.score(statistics(part)) >= THRESHOLD for part in tb.parts(batch.column(at))]
-            yield batch.filter(pa.array(np.concatenate(keep) if keep else np.empty(0, bool)))
+    def good(texts):
+        keep = [trees.value.score(statistics(part)) >= THRESHOLD for part in tb.parts(texts)]
+        return np.concatenate(keep) if keep else np.empty(0, bool)
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows_where(docs, good)
