@@ -3,14 +3,18 @@
 With DataFrame functions and the DataFrame API of Spark's ML library alone.
 URLs that a rule fits are the labelled ones. Gradient-boosted trees on lexical
 features (lengths, depth, digit share, entropy, parameters, and what share of
-labelled URLs with the same suffix is blocked) learn from them and judge the
-URLs that no rule fits. The learner sees the ``FIT_ROWS`` labelled pages of
-smallest URL hash; suffix statistics count every labelled page.
+labelled URLs with the same suffix or first section is blocked) learn from them
+and judge the URLs that no rule fits. A labelled URL's own shares leave out the
+labelled URLs of its fold (of ``FOLDS``, by the URL's hash), so that its label is
+not among its features. The learner sees the ``FIT_ROWS`` labelled pages of
+smallest URL hash; the shares count every labelled page.
 
 A null url, or one without "://", has an empty host and path, no rule and the
-model's verdict. Where labels of only one kind exist, that kind is the verdict;
-without any labels the verdict is allow. Pages that repeat are judged each.
-Extra columns are not read.
+model's verdict. Of rules of one length, which none are, the later listed would
+win. Where labels of only one kind exist, that kind is the verdict; without any
+labels the verdict is allow. A score of exactly one half is block. Very long
+URLs are read whole. Pages that repeat are judged each and fall into one fold;
+an empty table gives no rows. Extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, joined
 
 #: (verdict, host, path): fixed by contract.
 RULES = (
@@ -33,7 +37,9 @@ RULES = (
 )
 #: The classifier is fitted on at most this many labelled pages.
 FIT_ROWS = 20_000
-TREES, DEPTH = 12, 4
+TREES, DEPTH, FOLDS = 12, 4, 5
+#: Suffixes or sections whose shares are broadcast; beyond it the join is salted.
+BROADCAST_KEYS = 200_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _ENTROPY_OF = "abcdefghijklmnopqrstuvwxyz0123456789-._/%?=&"
 
@@ -97,17 +103,23 @@ def lexical(pages: DataFrame) -> DataFrame:
     )
 
 
-def _block_share(rows: DataFrame, key: str) -> DataFrame:
-    """Smoothed share of blocked pages among the labelled ones with the same suffix or section."""
-    n, bad = F.count("*"), F.count_if(F.col("ruled") == "block")
-    return rows.filter("ruled is not null").groupBy(key).agg(((bad + 1) / (n + 2)).alias(f"f_{key}"), F.log1p(n).cast("double").alias(f"f_{key}_n"))
+def _with_share(rows: DataFrame, key: str) -> DataFrame:
+    """Adds the smoothed share of blocked pages among the labelled ones with the same suffix or section, and their number, out of fold."""
+    bad = F.col("ruled") == "block"
+    folds = range(FOLDS)
+    counts = [F.count("*").alias("n"), F.count_if(bad).alias("bad")]
+    counts += [x for f in folds for x in (F.count_if(F.col("fold") == f).alias(f"n{f}"), F.count_if((F.col("fold") == f) & bad).alias(f"bad{f}"))]
+    told = cut(rows.filter("ruled is not null").groupBy(key).agg(*counts))
+    own = lambda c: F.when(F.col("ruled").isNotNull(), F.get(F.array(*(F.col(f"{c}{f}") for f in folds)), F.col("fold"))).otherwise(0)
+    n, b = F.coalesce(F.col("n") - own("n"), F.lit(0)), F.coalesce(F.col("bad") - own("bad"), F.lit(0))
+    return joined(rows, told, key, BROADCAST_KEYS).select(*rows.columns, ((b + 1) / (n + 2)).alias(f"f_{key}"), F.log1p(n.cast("double")).alias(f"f_{key}_n"))
 
 
 def verdicts(pages: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """page_id, host, path, rule, verdict, score (the method's share for block) for each row of ``pages``."""
-    rows = lexical(pages)
+    rows = lexical(pages).withColumn("fold", F.pmod(F.xxhash64("url"), F.lit(FOLDS)).cast("int"))
     for key in ("suffix", "section"):
-        rows = rows.join(cut(_block_share(rows, key)), key, "left").fillna({f"f_{key}": 0.5, f"f_{key}_n": 0.0})
+        rows = _with_share(rows, key)
     features = [c for c in rows.columns if c.startswith("f_")]
     rows = VectorAssembler(inputCols=features, outputCol="features").transform(rows)
     labelled = rows.filter("ruled is not null").withColumn("label", (F.col("ruled") == "block").cast("double"))
