@@ -8,9 +8,13 @@ whose target exceeds its size is taken whole as often as fits, and the rest is
 cut from the same order at the exact word.
 
 A null text has size 0. A null source is a source of its own, the last one.
-Documents of size 0 are taken 0 times. Rows that repeat are separate documents
-with their own places in the order. If all sizes are 0, so are all targets.
-Extra columns are not read by ``mix`` and are kept by ``mixed_documents``.
+Documents of size 0 are taken 0 times. A very long text is a document as any
+other; the cut may fall into it. Rows that share an id but not the text, or have
+none, lie in different places; rows equal in both are separate documents with
+neighbouring places. If all sizes are 0, so are all targets; an empty table
+gives no rows. The targets come from a table of a row a source, which one task
+sorts: some million sources at most. Extra columns, whatever their names, are
+not read by ``mix`` and are kept by ``mixed_documents``.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh
 
 WEIGHTS = (5, 2, 1)
 SHARE_PERCENT = 150
@@ -33,12 +37,12 @@ _WORD = r"[^\x20\x09-\x0D]+"
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size in words, and two hash keys that order a source's documents."""
+    """doc_id, source, size in words, and the hash key that orders a source's documents."""
     return docs.select(
         F.col("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long").alias("size"),
-        F.sha2(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 256).alias("key"),
+        F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\x1f"), F.coalesce(F.col("text").cast("string"), F.lit(""))), 256).alias("key"),
     )
 
 
@@ -110,8 +114,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     a document at most.
     """
     # A doc_id that repeats counts with its mean, so that a row comes as often whichever of them it is.
-    taken = mix(docs).groupBy("doc_id").agg(
-        F.coalesce(F.floor(F.try_divide(F.sum("taken"), F.sum("size")) + 0.5), F.lit(0)).cast("int").alias("_times")
-    ).withColumnRenamed("doc_id", "_mixed")
-    out = docs.join(taken.filter("_times > 0"), docs["doc_id"].eqNullSafe(F.col("_mixed")))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    times, mixed, copy = fresh(docs, "times"), fresh(docs, "mixed"), fresh(docs, "copy")
+    taken = mix(docs).groupBy(F.col("doc_id").alias(mixed)).agg(F.coalesce(F.floor(F.try_divide(F.sum("taken"), F.sum("size")) + 0.5), F.lit(0)).cast("int").alias(times))
+    out = docs.join(taken.filter(F.col(times) > 0), F.col("doc_id").eqNullSafe(F.col(mixed)))
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(times, mixed, copy)
