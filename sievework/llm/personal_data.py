@@ -9,8 +9,11 @@ run again on the outcome, and spans that rest on rewritten characters are
 mapped back and join the base spans. Base spans always stay.
 
 Null and empty texts hold nothing. Spans never cross rows; rows that repeat
-are scanned each. The detectors take time in proportion to a text's length,
-whatever it holds. Extra columns are not read.
+are scanned each, an empty table gives no rows. A span found in disguise that
+overlaps a base span of its kind, or an earlier one in disguise, is dropped.
+Very long texts are read whole; the detectors take time in proportion to a
+text's length, whatever it holds. Extra columns, whatever their names, are not
+read.
 """
 
 from __future__ import annotations
@@ -103,16 +106,27 @@ _LINK = r"(?:[\s,.;/-]{1,3}|\s+(?:dot|point|punkt|punto)\s+)"
 _RUN = re.compile(rf"(?i)(?<!\w)(?:plus\s+|\+\s?)?{_REPEAT}(?:{_SPELLED}|[0-9]+)(?!\w)(?:{_LINK}{_REPEAT}(?:{_SPELLED}|[0-9]+)(?!\w)){{3,}}")
 _RUN_SIGN = re.compile(rf"(?i)(?<!\w){_SPELLED}{_LINK}{_REPEAT}{_SPELLED}(?!\w)")
 _ITEM = re.compile(rf"(?i)(?P<plus>plus\s+)|(?:(?P<rep>double|triple)[\s-]+)?(?P<word>{_SPELLED})(?!\w)|(?P<dot>\s+(?:dot|point|punkt|punto)\s+)|(?P<num>[0-9]+)|(?P<gap>[\s,;/-]+)|(?P<rest>.)")
-_AT = r"(?:\s*[\[({<]\s*(?:at|ät|arobase|arroba|@)\s*[\])}>]\s*|\s+(?:at|ät|arobase|arroba|@)\s+|\s*@\s*)"
-_DOT = r"(?:\s*[\[({<]\s*(?:dot|punkt|point|punto|\.)\s*[\])}>]\s*|\s+(?:dot|punkt|point|punto)\s+)"
+_AT = r"(?:\s*[\[({<]\s*(?:at|ät|arobase|arroba|@)\s*[\])}>]\s*|\s+(?:at|ät|arobase|arroba|@)\s+|_(?:at|arobase|arroba)_|-(?:at|arobase|arroba)-|\s*@\s*)"
+_DOT = r"(?:\s*[\[({<]\s*(?:dot|punkt|point|punto|\.)\s*[\])}>]\s*|\s+(?:dot|punkt|point|punto)\s+|_(?:dot|punkt|point|punto)_|-(?:dot|punkt|point|punto)-)"
 _BRACKET_AT = r"\s*[\[({<]\s*(?:at|ät|arobase|arroba|@)\s*[\])}>]\s*"
 _NAME = r"[A-Za-z0-9_%+-]"
 _MAIL = re.compile(
     rf"(?i)(?<![A-Za-z0-9._%+-])(?:{_NAME}{{1,64}}(?:(?:\.|{_DOT}){_NAME}{{1,64}}){{0,4}}?)"
     rf"(?:{_AT}[A-Za-z0-9-]{{1,63}}(?:(?:\.[A-Za-z0-9-]{{1,63}}){{0,3}}?{_DOT}[A-Za-z0-9-]{{1,63}})+|{_BRACKET_AT}[A-Za-z0-9-]{{1,63}}(?:(?:\.|{_DOT})[A-Za-z0-9-]{{1,63}})+)"
 )
+# Ends of addresses whose signs are written out as words; fixed values.
+_TOP = frozenset("com net org edu gov mil int info biz io ai app dev co me tv de fr es it uk us ca au nz ie at ch be nl lu pt pl cz se no dk fi ru ua jp kr cn in br mx ar cl eu example test".split())
+# Four numbers, at least one of the dots between them in disguise.
+_NUMBER_DOT = r"(?:\s?[\[({<]\s?(?:dot|punkt|point|punto|\.)\s?[\])}>]\s?|\s+(?:dot|punkt|point|punto)\s+|_(?:dot|punkt|point|punto)_)"
+_NUMBERS = re.compile(rf"(?i)(?<![0-9.])[0-9]{{1,3}}(?:(?:\.|{_NUMBER_DOT})[0-9]{{1,3}}){{3}}(?![0-9])")
+_NUMBER_ITEM = re.compile(_NUMBER_DOT, re.I)
 _AT_ITEM, _DOT_ITEM = re.compile(_AT, re.I), re.compile(_DOT, re.I)
-_MAIL_SIGN = re.compile(r"(?i)(?<!\w)(?:dot|punkt|point|punto)(?!\w)|[\[({<]\s*(?:at|ät|arobase|arroba|@|\.)\s*[\])}>]")
+_MAIL_SIGN = re.compile(r"(?i)(?<![^\W_])(?:dot|punkt|point|punto)(?![^\W_])|[\[({<]\s*(?:at|ät|arobase|arroba|@|\.)\s*[\])}>]")
+
+
+def undot_numbers(tape: "Tape") -> None:
+    """Written-out or bracketed dots between the four numbers of an address become dots."""
+    tape.rewrite([(*x.span(), ".") for m in _NUMBERS.finditer(tape.text) for x in _NUMBER_ITEM.finditer(tape.text, m.start(), m.end())])
 
 
 class Tape:
@@ -173,6 +187,9 @@ def unword_addresses(tape: Tape) -> None:
         at = list(_AT_ITEM.finditer(tape.text, m.start(), m.end()))
         signs = [(*x.span(), "@") for x in at[-1:]]
         signs += [(*x.span(), ".") for x in _DOT_ITEM.finditer(tape.text, m.start(), m.end()) if not any(x.start() < b and a < x.end() for a, b, _ in signs)]
+        bare = all(tape.text[a:b].strip().isalpha() for a, b, _ in signs)  # words alone may be a sentence
+        if bare and tape.text[max(b for _, b, _ in signs) : m.end()].lower() not in _TOP:
+            continue
         edits += sorted(signs)
     tape.rewrite(edits)
 
@@ -190,6 +207,8 @@ def detect(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int,
         return base, added
     if odd:
         unmask_characters(tape)
+    if _MAIL_SIGN.search(tape.text):
+        undot_numbers(tape)
     if _RUN_SIGN.search(tape.text):
         unspell_digits(tape)
     if _MAIL_SIGN.search(tape.text):
@@ -219,13 +238,13 @@ def _scan(batches):
         rows = []
         for text in batch.column(1):
             base, added = detect(text.as_py() or "")
-            rows.append((*(sum(k == kind for k, _, _ in base) for kind in KINDS), hashlib.sha256(_listed(base).encode()).hexdigest(), _listed(base + added), len(added)))
-        cols = list(zip(*rows, strict=True)) or [[]] * 7
-        kinds = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", *_COUNTS, "base_sha256", "spans", "n_added"])
+            rows.append((*(sum(k == kind for k, _, _ in base) for kind in KINDS), hashlib.sha256(_listed(base).encode()).hexdigest(), _listed(base + added), len(added), len(base) + len(added)))
+        cols = list(zip(*rows, strict=True)) or [[]] * 8
+        kinds = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", *_COUNTS, "base_sha256", "spans", "n_added", "n_spans"])
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """doc_id, base counts n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added for each row of ``docs``."""
-    spec = "doc_id long, " + ", ".join(f"{c} long" for c in _COUNTS) + ", base_sha256 string, spans string, n_added long"
+    """doc_id, base counts n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, n_spans for each row of ``docs``."""
+    spec = "doc_id long, " + ", ".join(f"{c} long" for c in _COUNTS) + ", base_sha256 string, spans string, n_added long, n_spans long"
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_scan, spec)

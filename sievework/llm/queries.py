@@ -33,7 +33,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return personal_data.personal_data(table(spark, sf_dir, "documents")).drop("n_added")
+    return personal_data.personal_data(table(spark, sf_dir, "documents"))
 
 
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
