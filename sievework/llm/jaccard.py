@@ -4,8 +4,9 @@ The exact links between documents whose sets of five-word shingles have a
 Jaccard similarity of at least 0.8, and their connected components.
 
 1. Documents with equal sets fall together by a 128-bit digest of the set, so
-   copies cost one row each however many there are; the smallest doc_id stands
-   for them.
+   copies cost one narrow row each however many there are; the smallest doc_id
+   stands for them, and only it takes part in what follows. Sets with very many
+   copies are joined back by broadcast or with salts.
 2. *Partition.* Min-hash keys propose for each representative a leader; the
    link to it is checked exactly, and components of checked links form the
    clusters. Each cluster is dealt out to groups of bounded size.
@@ -14,7 +15,8 @@ Jaccard similarity of at least 0.8, and their connected components.
    token of both prefixes. Tokens that one cluster alone holds link nothing new
    and go. Prefixes take rare tokens first; which are common is read off a
    hashed sample of the sets as a bitmap of bounded size. Any order gives the
-   same links, so the sample decides on cost alone.
+   same links, so the sample decides on cost alone. The groups of a token that
+   very many hold are met with salts, some hundreds of them in a task.
 4. *Bound.* Two groups of different clusters stay only if sizes allow a link and
    they meet in as many tokens of their prefixes as a linked pair must; then
    each member's overlap with the other group's token union bounds its overlap
@@ -22,20 +24,24 @@ Jaccard similarity of at least 0.8, and their connected components.
 5. *Open.* Members of opened groups are compared exactly.
 
 Empty or null texts have no set, link with nothing and are their own
-component. A repeated row is a copy. A row without doc_id takes part as a copy
-of its set but never names a component of others. Extra columns are not read.
+component. A repeated row is a copy; of links at exactly 0.8 all count. A very
+long text is one slice of its own, and its prefix is as long as its set asks
+for. A row without doc_id takes part under a key made of its text's hash, above
+all ids (which lie below 2**62), so it names a component of such rows alone, and
+that component is null. An empty table gives no rows. Extra columns are not
+read, whatever their names; ``keep_one`` keeps them.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textbits as tb
-from .common import cut
+from .common import batches_of, cut, few, fresh
 from .components import components
 
 PERCENT = 80
@@ -46,7 +52,13 @@ PREFIX_SHARE = 20
 SAMPLE_ONE_IN = 32
 #: Ids that may be broadcast to pick texts (8 MB); beyond it the join is shuffled.
 BROADCAST_IDS = 500_000
+#: Pairs of groups that a task opens at once.
+OPENED_AT_ONCE = 64
 COMMON_FROM = 3
+#: A set with as many copies is hot; a token in the prefixes of more groups, or a leader of more texts, is met in several tasks.
+HOT_COPIES, HOT_GROUPS, SALTS = 256, 256, 64
+#: Rows without doc_id are keyed from here on.
+UNNAMED = 1 << 62
 _SALTS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344], np.uint64)
 _TURNS = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, (KEYS * ROWS_PER_KEY, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -55,6 +67,10 @@ def _digest(u: np.ndarray) -> list[int]:
     return [int(tb.mix(u ^ s).sum(dtype=np.uint64)) for s in _SALTS]
 
 
+_KEYS = [f"k{i}" for i in range(KEYS)]
+_SET = ["n", "d1", "d2"]
+
+
 def _profiles(batches):
     """doc_id, set size, digest of the set, min-hash keys."""
     for batch in batches:
@@ -63,20 +79,21 @@ def _profiles(batches):
             for u in part.shingle_sets():
                 size.append(len(u))
                 if not len(u):
-                    one.append(0), two.append(0), keys.append([])
+                    one.append(0), two.append(0), keys.append(np.zeros(KEYS, np.int64))
                     continue
                 a, b = _digest(u)
                 one.append(a), two.append(b)
                 least = (tb.mix(u) * _TURNS).min(axis=1)
                 keys.append(tb.signed(tb.mix(least[0::2] * np.uint64(3) + tb.mix(least[1::2])) + np.arange(KEYS, dtype=np.uint64)))
+        keys = np.array(keys, np.int64).reshape(-1, KEYS)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(size, pa.int64()), pa.array(tb.signed(np.array(one, np.uint64))), pa.array(tb.signed(np.array(two, np.uint64))), pa.array(keys, pa.list_(pa.int64()))],
-            names=["doc_id", "n", "d1", "d2", "keys"],
+            [batch.column(0), pa.array(size, pa.int64()), pa.array(tb.signed(np.array(one, np.uint64))), pa.array(tb.signed(np.array(two, np.uint64))), *(pa.array(np.ascontiguousarray(k)) for k in keys.T)],
+            names=["doc_id", *_SET, *_KEYS],
         )
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_profiles, "doc_id long, n long, d1 long, d2 long, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(_profiles, ", ".join(f"{c} long" for c in ["doc_id", *_SET, *_KEYS]))
 
 
 def _sets(batches):
@@ -118,12 +135,15 @@ def _prefixes(common: np.ndarray):
     bits = np.uint64(64 - (len(common).bit_length() - 1 + 6))
 
     def run(batches):
+        done = set()  # a row that repeats within a task is dealt out once
         for batch in batches:
+            doc = batch.column(0).to_pylist()
             ids, size, tokens = [], [], []
             for part in tb.parts(batch.column(1)):
                 for i, u in enumerate(part.shingle_sets(), part.at):
-                    if not len(u):
+                    if not len(u) or (told := (doc[i], len(u), int(u[0]))) in done:
                         continue
+                    done.add(told)
                     at = u >> bits
                     often = (common[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
                     many = len(u) - _needed(len(u)) + _shared(len(u))
@@ -171,10 +191,8 @@ def _open_groups(batches):
 
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id and text of the documents in ``ids`` (doc_id). Few ids are broadcast, so that only their texts move."""
-    if ids.count() <= BROADCAST_IDS:
-        return docs.join(F.broadcast(ids), "doc_id", "left_semi")
-    return docs.join(ids, "doc_id", "left_semi")
+    """doc_id and text of the documents in ``ids`` (doc_id), one row each. Few ids are broadcast, so that only their texts move."""
+    return docs.join(few(ids, BROADCAST_IDS), "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
 def _leader_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -189,11 +207,11 @@ def _leader_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     )
     pairs = cut(pairs)
     texts = _texts(docs, cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()))
-    both = (
-        pairs.join(texts.withColumnsRenamed({"doc_id": "a", "text": "ta"}), "a")
-        .join(texts.withColumnsRenamed({"doc_id": "b", "text": "tb"}), "b")
-        .select("a", "b", "ta", "tb")
-    )
+    # a leader of very many comes to as many tasks as its followers fill
+    leaders = few(cut(pairs.groupBy("b").agg(F.ceil(F.count("*") / HOT_GROUPS).alias("salts"))), BROADCAST_IDS)
+    of_leaders = texts.withColumnsRenamed({"doc_id": "b", "text": "tb"}).join(leaders, "b").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
+    followers = pairs.join(leaders, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("salts")).alias("salt"))
+    both = followers.join(texts.withColumnsRenamed({"doc_id": "a", "text": "ta"}), "a").join(of_leaders, ["b", "salt"]).select("a", "b", "ta", "tb")
     return cut(both.mapInArrow(_check_pairs, "a long, b long").distinct())
 
 
@@ -202,23 +220,23 @@ def _cross_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     per = reps.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n").alias("tokens"))
     bins = F.greatest(F.ceil(F.col("docs") / GROUP_DOCS), F.ceil(F.col("tokens") / GROUP_TOKENS)).cast("int")
     grouped = cut(reps.join(per, "cluster").select("doc_id", "cluster", F.pmod(F.xxhash64("doc_id"), bins).alias("bin")))
+    of_token = W.partitionBy("t")  # the one exchange of the representatives' prefixes: tokens of one cluster alone end here
     rows = (
         docs.select("doc_id", "text")
         .mapInArrow(_prefixes(common_tokens(docs)), "doc_id long, n int, tokens array<long>")
-        .select("doc_id", "n", F.posexplode("tokens").alias("pos", "t"))
-    )
-    of_token = W.partitionBy("t")  # the one exchange of all prefixes: tokens that a single set holds end here
-    rows = rows.withColumns({"lo": F.min("doc_id").over(of_token), "hi": F.max("doc_id").over(of_token)}).filter("lo != hi").drop("lo", "hi")
-    rows = rows.join(grouped.select("doc_id", "cluster", "bin"), "doc_id")  # copies end here
-    matrix = rows.repartition("t").groupBy("t", "cluster", "bin").agg(
-        F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("pos")).alias("left")
+        .join(few(grouped, BROADCAST_IDS), "doc_id")
+        .select("cluster", "bin", "n", F.posexplode("tokens").alias("pos", "t"))
+        .withColumns({"lo": F.min("cluster").over(of_token), "hi": F.max("cluster").over(of_token)})
+        .filter("lo != hi")
     )
-    matrix = matrix.withColumns({"lo": F.min("cluster").over(of_token), "hi": F.max("cluster").over(of_token)}).filter("lo != hi").drop("lo", "hi")
-    x, y = (matrix.select("t", *(F.col(c).alias(f"{c}_{s}") for c in matrix.columns if c != "t")) for s in "xy")
+    matrix = rows.groupBy("t", "cluster", "bin").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("pos")).alias("left"))
+    matrix = matrix.withColumn("salts", F.ceil(F.count("*").over(of_token) / HOT_GROUPS))
+    salts = {"x": F.pmod(F.xxhash64("cluster", "bin"), F.col("salts")), "y": F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))}
+    x, y = (matrix.select("t", salts[s].alias("salt"), *(F.col(c).alias(f"{c}_{s}") for c in matrix.columns if c not in ("t", "salts"))) for s in "xy")
     # A pair of overlap o shares k tokens at least among those with o - k others behind them in both sets (their
     # sizes give o >= 80/180 of the sum); groups stand for their members by the extreme sizes.
     small, large = F.least("least_x", "least_y"), F.least("most_x", "most_y")
-    meets = x.join(y, "t").filter(
+    meets = x.join(y, ["t", "salt"]).filter(
         (F.col("cluster_x") < F.col("cluster_y"))
         & (100 * F.col("most_x") >= PERCENT * F.col("least_y"))
         & (100 * F.col("most_y") >= PERCENT * F.col("least_x"))
@@ -235,38 +253,59 @@ def _cross_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     texts = members.join(_texts(docs, members.select("doc_id")), "doc_id").groupBy("cluster", "bin").agg(F.collect_list("text").alias("texts"))
     a, b = (texts.select(*(F.col(c).alias(f"{c}_{s}") for c in texts.columns)) for s in "xy")
     both = pairs.join(a, ["cluster_x", "bin_x"]).join(b, ["cluster_y", "bin_y"]).select("cluster_x", "cluster_y", "texts_x", "texts_y")
-    return cut(both.mapInArrow(_open_groups, "a long, b long").distinct())
+    with batches_of(docs.sparkSession, OPENED_AT_ONCE):
+        return cut(both.mapInArrow(_open_groups, "a long, b long").distinct())
+
+
+def _with_component(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """rows (doc_id, n, d1, d2) with their set's component_id; no task gets all copies of a set."""
+    hot = classes.filter(F.col("copies") >= HOT_COPIES).select(*_SET, F.col("component_id").alias("hot"))
+    if hot.count() <= BROADCAST_IDS:
+        rows = rows.join(F.broadcast(hot), _SET, "left")
+    else:
+        salted = hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.spark_partition_id()), F.lit(SALTS)).cast("int")).join(salted, [*_SET, "salt"], "left").drop("salt")
+    cold = classes.filter(F.col("copies") < HOT_COPIES).select(*_SET, "component_id")
+    return rows.filter("hot is not null").select("doc_id", "n", F.col("hot").alias("component_id")).unionByName(
+        rows.filter("hot is null").join(cold, _SET).select("doc_id", "n", "component_id")
+    )
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of ``docs`` (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _key() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(UNNAMED) + F.shiftrightunsigned(F.xxhash64("text"), 2))
+
+
+def _grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, n, component_id for each row of ``docs`` (doc_id, text), whose doc_id is no null."""
     all_docs = cut(profiles(docs))
-    same = ["n", "d1", "d2"]
-    classes = all_docs.filter("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"))
-    of_class = cut(
-        all_docs.filter("n > 0").join(classes, same).select("doc_id", "n", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("keys")).alias("keys"))
-    )
-    reps = of_class.filter("keys is not null").dropDuplicates(["doc_id"])
-    links = _leader_links(docs, reps)
-    cluster = cut(components(links, "a", "b"))
+    classes = cut(all_docs.filter("n > 0").groupBy(*_SET).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *(F.min(k).alias(k) for k in _KEYS)))
+    reps = classes.select(F.col("rep").alias("doc_id"), "n", F.array(*_KEYS).alias("keys")).dropDuplicates(["doc_id"])
+    cluster = cut(components(_leader_links(docs, reps), "a", "b"))
     reps = reps.join(cluster.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", "n", F.coalesce("component", "doc_id").alias("cluster")
     )
     merged = components(_cross_links(docs, reps), "a", "b").select(F.col("node").alias("component"), F.col("component").alias("merged"))
     final = cluster.join(merged, "component", "left").select(F.col("node").alias("rep"), F.coalesce("merged", "component").alias("component_id"))
     lone = merged.join(cluster, "component", "left_anti").select(F.col("component").alias("rep"), F.col("merged").alias("component_id"))
-    final = final.unionByName(lone)
-    out = of_class.join(final, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "rep").alias("component_id"))
-    empty = all_docs.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return out.unionByName(empty)
+    named = classes.join(final.unionByName(lone), "rep", "left").select(*_SET, "copies", F.coalesce("component_id", "rep").alias("component_id"))
+    out = _with_component(all_docs.filter("n > 0").select("doc_id", *_SET), cut(named))
+    return out.unionByName(all_docs.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of ``docs`` (doc_id, text)."""
+    found = _grouped(docs.select(_key().alias("doc_id"), "text"))
+    named = lambda c: F.when(F.col(c) < UNNAMED, F.col(c))
+    return found.select(named("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), named("component_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id stands for its component: one document of each group stays.
+    """The rows of ``docs`` that stand for their component: one document of each group stays.
 
     Of rows that repeat a doc_id with the same text one stays; rows without
-    text stay, as they are linked with nothing.
+    text stay, as they are linked with nothing. A row without doc_id stays if
+    no row of its group has one and its text's hash is the smallest.
     """
-    kept = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    key = fresh(docs, "key")
+    kept = _grouped(docs.select(_key().alias("doc_id"), "text")).filter("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
+    return docs.withColumn(key, _key()).join(kept, key, "left_semi").drop(key).dropDuplicates(["doc_id", "text"])
