@@ -11,6 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Texts in an Arrow batch.
+BATCH_ROWS = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -36,16 +41,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def mapped(texts: DataFrame, f, spec) -> DataFrame:
+    """``texts.mapInArrow(f, spec)`` for rows that hold whole texts.
+
+    Arrow batches of 10,000 texts take tens of MB on either side of the pipe,
+    and the JVM keeps what it once took, so the session's batches are made
+    smaller (``BATCH_ROWS``) where they have the default size.
+    """
+    conf = texts.sparkSession.conf
+    if conf.get(_BATCH) == "10000":
+        conf.set(_BATCH, str(BATCH_ROWS))
+    return texts.mapInArrow(f, spec)
+
+
 @contextmanager
 def batches_of(spark: SparkSession, rows: int):
     """While it lasts, Python tasks that start get Arrow batches of at most ``rows`` rows: for rows that hold much."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(rows))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        spark.conf.set(_BATCH, before)
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -64,7 +81,7 @@ def rows_where(docs: DataFrame, judge) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(judge(batch.column(at)), pa.bool_()))
 
-    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+    return mapped(plain, run, plain.schema).toDF(*docs.columns)
 
 
 def few(df: DataFrame, at_most: int) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textbits as tb
-from .common import cut, few, fresh, rows_where
+from .common import cut, few, fresh, mapped, rows_where
 
 WINDOW = 13
 #: Bytes of benchmark text that one scan carries; compiled they take about ten times as much.
@@ -242,13 +242,13 @@ def _of_blocks(docs: DataFrame, items: Benchmark) -> DataFrame:
     found = None
     for k in range(items.blocks):
         held = sc.broadcast(items.block(k))
-        one = rows.select("row", "text").mapInArrow(_hits_scan(held), "row long, hit array<long>, items array<long>").dropDuplicates(["row"])
+        one = mapped(rows.select("row", "text"), _hits_scan(held), "row long, hit array<long>, items array<long>").dropDuplicates(["row"])
         one = cut(one)  # this block's hits are written before the next block comes
         held.destroy()
         found = one if found is None else found.unionByName(one)
     union = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))  # noqa: E731  # a row a block at most
     found = cut(found.groupBy("row").agg(F.size(union("hit")).cast("long").alias("n_hit"), union("items").alias("items")))
-    counted = rows.select("doc_id", "row", "text").mapInArrow(_word_counts, "doc_id long, row long, n_words long")
+    counted = mapped(rows.select("doc_id", "row", "text"), _word_counts, "doc_id long, row long, n_words long")
     n_hit, items = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<long>"))
     names = F.array_join(F.array_sort(F.transform(items, lambda i: i.cast("string"))), ",")
     return counted.join(few(found, BROADCAST_ROWS), "row", "left").select(
@@ -263,7 +263,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
     if items.blocks > 1:
         return _of_blocks(docs, items).drop("row")
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return texts.mapInArrow(_one_scan(docs.sparkSession.sparkContext.broadcast(items.block(0))), _RESULT)
+    return mapped(texts, _one_scan(docs.sparkSession.sparkContext.broadcast(items.block(0))), _RESULT)
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:

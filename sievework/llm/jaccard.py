@@ -41,7 +41,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textbits as tb
-from .common import batches_of, cut, few, fresh
+from .common import batches_of, cut, few, fresh, mapped
 from .components import components
 
 PERCENT = 80
@@ -93,7 +93,7 @@ def _profiles(batches):
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text").mapInArrow(_profiles, ", ".join(f"{c} long" for c in ["doc_id", *_SET, *_KEYS]))
+    return mapped(docs.select("doc_id", "text"), _profiles, ", ".join(f"{c} long" for c in ["doc_id", *_SET, *_KEYS]))
 
 
 def _sets(batches):
@@ -110,7 +110,7 @@ def _sets(batches):
 def common_tokens(docs: DataFrame) -> np.ndarray:
     """A bitmap (at most 16 MB) of the tokens that several sets among those of every 32nd text (by its hash) hold."""
     sampled = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE_ONE_IN)) == 0)
-    sets = sampled.mapInArrow(_sets, "d1 long, tokens array<long>").dropDuplicates(["d1"])
+    sets = mapped(sampled, _sets, "d1 long, tokens array<long>").dropDuplicates(["d1"])
     often = cut(sets.select(F.explode("tokens").alias("t")).groupBy("t").count().filter(F.col("count") >= COMMON_FROM).select("t"))
     bits = min(27, max(16, (16 * often.count()).bit_length()))
     at = F.shiftrightunsigned("t", 64 - bits)
@@ -212,7 +212,7 @@ def _leader_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     of_leaders = texts.withColumnsRenamed({"doc_id": "b", "text": "tb"}).join(leaders, "b").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
     followers = pairs.join(leaders, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("salts")).alias("salt"))
     both = followers.join(texts.withColumnsRenamed({"doc_id": "a", "text": "ta"}), "a").join(of_leaders, ["b", "salt"]).select("a", "b", "ta", "tb")
-    return cut(both.mapInArrow(_check_pairs, "a long, b long").distinct())
+    return cut(mapped(both, _check_pairs, "a long, b long").distinct())
 
 
 def _cross_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -222,8 +222,7 @@ def _cross_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     grouped = cut(reps.join(per, "cluster").select("doc_id", "cluster", F.pmod(F.xxhash64("doc_id"), bins).alias("bin")))
     of_token = W.partitionBy("t")  # the one exchange of the representatives' prefixes: tokens of one cluster alone end here
     rows = (
-        docs.select("doc_id", "text")
-        .mapInArrow(_prefixes(common_tokens(docs)), "doc_id long, n int, tokens array<long>")
+        mapped(docs.select("doc_id", "text"), _prefixes(common_tokens(docs)), "doc_id long, n int, tokens array<long>")
         .join(few(grouped, BROADCAST_IDS), "doc_id")
         .select("cluster", "bin", "n", F.posexplode("tokens").alias("pos", "t"))
         .withColumns({"lo": F.min("cluster").over(of_token), "hi": F.max("cluster").over(of_token)})

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbits as tb
+from .common import mapped
 
 #: Fixed by contract: phrase, label.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -350,4 +351,4 @@ def _scan(batches):
 
 def licence_scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, detections (word spans) for each row of ``docs``."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_scan, _SCHEMA)
+    return mapped(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), _scan, _SCHEMA)

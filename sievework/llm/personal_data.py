@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mapped
+
 KINDS = ("email", "ip", "card", "phone")
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -247,4 +249,4 @@ def _scan(batches):
 def personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, base counts n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, n_spans for each row of ``docs``."""
     spec = "doc_id long, " + ", ".join(f"{c} long" for c in _COUNTS) + ", base_sha256 string, spans string, n_added long, n_spans long"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_scan, spec)
+    return mapped(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), _scan, spec)

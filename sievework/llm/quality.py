@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbits as tb
-from .common import fold_of, rows_where
+from .common import fold_of, mapped, rows_where
 
 FOLDS, HELD_OUT = 5, 0
 FIT_ROWS = 12_000
@@ -153,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Trees:
     train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
     # a document that repeats is fitted once, and of several texts of an id the smallest, so that fit_rows bounds what comes to the driver
     train = train.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
-    got = train.select("y", "text").mapInArrow(_fit_rows, "y int, x array<double>").toArrow()
+    got = mapped(train.select("y", "text"), _fit_rows, "y int, x array<double>").toArrow()
     y = got["y"].to_numpy().astype(float)
     x = got["x"].combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES)) if len(y) else np.empty((0, len(FEATURES)))
     order = np.lexsort((*x.T, y)) if len(y) else np.empty(0, np.int64)  # whatever order the rows come in
@@ -174,7 +174,7 @@ def quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Dat
     """doc_id, held_out, score, predicted for each row of ``docs``."""
     trees = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, fit_rows))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold_of(F.col("doc_id").cast("long"), FOLDS) == HELD_OUT).alias("held_out"), F.col("text").cast("string"))
-    return rows.mapInArrow(_score(trees), "doc_id long, held_out boolean, score double, predicted int")
+    return mapped(rows, _score(trees), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textbits as tb
-from .common import shared_folder
+from .common import mapped, shared_folder
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
@@ -190,7 +190,7 @@ def encode_documents(docs: DataFrame, path: str, file_bytes: int = FILE_BYTES) -
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     n = max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // file_bytes))
     rows = rows.withColumn("_h", F.xxhash64("text")).repartitionByRange(n, "doc_id", "_h").sortWithinPartitions("doc_id", "_h")
-    return rows.select(F.spark_partition_id().alias("part"), "doc_id", "text").mapInArrow(_encode(path), _ROW)
+    return mapped(rows.select(F.spark_partition_id().alias("part"), "doc_id", "text"), _encode(path), _ROW)
 
 
 def write_tokens(tokens: DataFrame, folder: str, delta: bool = False) -> None:
@@ -228,7 +228,7 @@ def _sums(batches):
 
 def token_report(files: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each row of the files."""
-    rows = files.select("part", "doc_id", "place", "tokens", "n_tokens").mapInArrow(_sums, "part int, doc_id long, place long, n_tokens int, ids_crc32 long")
+    rows = mapped(files.select("part", "doc_id", "place", "tokens", "n_tokens"), _sums, "part int, doc_id long, place long, n_tokens int, ids_crc32 long")
     return rows.join(positions(files), "part").select(
         "doc_id", (F.col("before") + F.col("place")).alias("start"), F.col("n_tokens").cast("long").alias("n_tokens"), "ids_crc32"
     )

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbits as tb
-from .common import cut, fold_of
+from .common import cut, fold_of, mapped
 
 FOLDS, HELD_OUT = 4, 2
 FIT_EXAMPLES = 8_000
@@ -236,13 +236,13 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = FIT_EXAMPLES) -> Mod
     n, bad = (float(x or 0) for x in train.agg(F.count("*"), F.sum("toxic")).first())
     terms, factor = np.empty(0, np.uint64), np.empty(0)
     if 0 < bad < n:
-        counted = train.select("toxic", "text").mapInArrow(_term_counts, "term long, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("a"))
+        counted = mapped(train.select("toxic", "text"), _term_counts, "term long, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("a"))
         got = counted.filter(F.col("n").between(LEAST_DF, max(10, int(MOST_SHARE * n)))).toArrow()  # the terms of the examples, a bounded number of texts
         terms = tb.unsigned(got["term"].to_numpy())
         order = np.argsort(terms)
         terms, factor = terms[order], _leaning(got["n"].to_numpy()[order].astype(float), got["a"].to_numpy()[order].astype(float), n, bad)
         df, total = np.zeros(len(terms)), 0
-        counted = docs.select(F.col("text").cast("string")).mapInArrow(_frequencies(spark.sparkContext.broadcast(Lookup(terms))), "term long, df long")
+        counted = mapped(docs.select(F.col("text").cast("string")), _frequencies(spark.sparkContext.broadcast(Lookup(terms))), "term long, df long")
         counted = counted.groupBy("term").agg(F.sum("df").alias("df")).toArrow()  # a row a term
         at, many = counted["term"].to_numpy(), counted["df"].to_numpy()
         df[at[at >= 0]], total = many[at >= 0], int(many[at < 0].sum())
@@ -258,7 +258,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = FIT_EXAMPLES) -> Mod
                 names=["doc_id", "toxic", "terms", "weights"],
             )
 
-    got = train.mapInArrow(vectors, "doc_id long, toxic int, terms array<long>, weights array<float>").toArrow().combine_chunks()  # as many rows as examples
+    got = mapped(train, vectors, "doc_id long, toxic int, terms array<long>, weights array<float>").toArrow().combine_chunks()  # as many rows as examples
     size = pa.compute.list_value_length(got["terms"]).to_numpy()
     flat = lambda c, kind: pa.compute.list_flatten(got[c]).to_numpy().astype(kind)
     model.index = Index(
@@ -271,4 +271,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, examples: int = FIT_EXAMPLES) -
     """doc_id, held_out, score, predicted, evidence (ids of the nearest examples) for each row of ``docs``."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, examples))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold_of(F.col("doc_id").cast("long"), FOLDS) == HELD_OUT).alias("held_out"), F.col("text").cast("string"))
-    return rows.mapInArrow(_score(model), "doc_id long, held_out boolean, score double, predicted int, evidence array<long>")
+    return mapped(rows, _score(model), "doc_id long, held_out boolean, score double, predicted int, evidence array<long>")
