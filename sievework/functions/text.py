@@ -49,20 +49,31 @@ def loose_key(c: Column, compat: bool = True) -> Column:
     return F.regexp_replace(F.lower(s), "[^0-9a-z가-힣]", "")
 
 
-def unit_match(left: Column, right: Column, compat: bool = True) -> Column:
-    """exact, suffix-equivalent, none or missing."""
-    a, b = loose_key(left, compat), loose_key(right, compat)
+def unit_stem(key: Column) -> Column:
+    """A unit's key without the unit suffix at its end: of units that match, one's stem is the other."""
+    return F.regexp_replace(key, f"(?<=.)(?:{'|'.join(UNIT_SUFFIXES)})$", "")
+
+
+def unit_keys_match(a: Column, b: Column) -> Column:
     suffix = reduce(lambda x, y: x | y, [(F.concat(a, F.lit(s)) == b) | (F.concat(b, F.lit(s)) == a) for s in UNIT_SUFFIXES])
     return F.when((a == "") | (b == ""), "missing").when(a == b, "exact").when(suffix, "suffix-equivalent").otherwise("none")
 
 
-def track_match(left: Column, right: Column, compat: bool = True) -> Column:
-    """exact, related (one holds the other), none or missing."""
-    a, b = loose_key(left, compat), loose_key(right, compat)
+def unit_match(left: Column, right: Column, compat: bool = True) -> Column:
+    """exact, suffix-equivalent, none or missing."""
+    return unit_keys_match(loose_key(left, compat), loose_key(right, compat))
+
+
+def track_keys_match(a: Column, b: Column) -> Column:
     related = (F.length(a) >= 2) & (F.length(b) >= 2) & (F.contains(a, b) | F.contains(b, a))
     return F.when((a == "") | (b == ""), "missing").when(a == b, "exact").when(related, "related").otherwise("none")
 
 
+def track_match(left: Column, right: Column, compat: bool = True) -> Column:
+    """exact, related (one holds the other), none or missing."""
+    return track_keys_match(loose_key(left, compat), loose_key(right, compat))
+
+
 def track_key(c: Column) -> Column:
     return F.replace(F.replace(loose_key(c), F.lit("학생부"), F.lit("")), F.lit("전형"), F.lit(""))
 

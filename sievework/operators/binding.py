@@ -19,17 +19,24 @@ def bind_records(records: DataFrame, apps: DataFrame, compat: bool = True) -> Da
     """Pairs of an application and a record of its university whose unit and track agree.
 
     records: fingerprint, record_type, year, university, department, admission.
-    apps: identity_key, year, university, department, admission. The join is
-    on the university's key; Spark broadcasts ``apps`` itself where they are
-    few and shuffles both where they are not.
+    apps: identity_key, year, university, department, admission. Keys are made
+    once a row. Only departments whose keys are equal but for one unit suffix
+    can match, so both sides are dealt out under their key and under it without
+    its suffix, and the join is on the university's key and that stem; the exact
+    rules then judge the pairs that meet.
     """
-    r = records.withColumn("_u", T.entity_key(F.col("university"))).filter("_u <> ''")
-    a = apps.select("identity_key", *(F.col(c).alias(f"app_{c}") for c in ("year", "department", "admission")), T.entity_key(F.col("university")).alias("_u")).filter("_u <> ''")
-    both = r.join(a, "_u").filter(F.coalesce((F.col("year") <= 0) | (F.col("app_year") <= 0) | (F.col("year") == F.col("app_year")), F.lit(True)))
-    both = both.withColumns({"unit_match": T.unit_match(F.col("app_department"), F.col("department"), compat), "track_match": T.track_match(F.col("app_admission"), F.col("admission"), compat)})
+    keys = lambda u, d, t: {"_u": T.entity_key(F.col(u)), "_d": T.loose_key(F.col(d), compat), "_t": T.loose_key(F.col(t), compat)}
+    r = records.withColumns(keys("university", "department", "admission")).filter("_u <> '' and _d <> '' and _t <> ''")
+    a = apps.withColumns(keys("university", "department", "admission")).filter("_u <> '' and _d <> '' and _t <> ''")
+    a = a.select("identity_key", F.col("year").alias("app_year"), "_u", F.col("_d").alias("app_d"), F.col("_t").alias("app_t"))
+    dealt = lambda df, d: df.withColumn("_stem", F.explode(F.array_distinct(F.array(d, T.unit_stem(F.col(d))))))
+    both = dealt(r, "_d").join(dealt(a, "app_d"), ["_u", "_stem"])
+    both = both.filter(F.col("_stem") == F.when(F.length("app_d") <= F.length("_d"), F.col("app_d")).otherwise(F.col("_d")))  # a pair meets once
+    both = both.filter(F.coalesce((F.col("year") <= 0) | (F.col("app_year") <= 0) | (F.col("year") == F.col("app_year")), F.lit(True)))
+    both = both.withColumns({"unit_match": T.unit_keys_match(F.col("app_d"), F.col("_d")), "track_match": T.track_keys_match(F.col("app_t"), F.col("_t"))})
     both = both.filter(F.col("unit_match").isin("exact", "suffix-equivalent") & (F.col("track_match") != "none"))
     sure = (F.col("unit_match") == "exact") & (F.col("track_match") == "exact")
-    signature = F.concat_ws("|", F.col("_u"), T.loose_key(F.col("department"), compat), T.loose_key(F.col("admission"), compat))
+    signature = F.concat_ws("|", "_u", "_d", "_t")
     return both.select("identity_key", "fingerprint", "record_type", "unit_match", "track_match", F.when(sure, "accepted").otherwise("provisional").alias("match_class"), signature.alias("signature"))
 
 

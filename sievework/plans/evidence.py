@@ -59,8 +59,8 @@ def public_frontier_links(spark: SparkSession, d: str) -> DataFrame:
 @R.add()
 def page_text(spark: SparkSession, d: str) -> DataFrame:
     """Visible text of pages as digest and length (not in SQL: character references)."""
-    text = T.html_text(F.col("html"))
-    return table(spark, d, "pages").select("page_id", F.length(text).alias("n_chars"), F.sha2(text, 256).alias("text_sha256"))
+    text = F.col("visible")
+    return table(spark, d, "pages").select("page_id", T.html_text(F.col("html")).alias("visible")).select("page_id", F.length(text).alias("n_chars"), F.sha2(text, 256).alias("text_sha256"))
 
 
 @R.add(r"""SELECT doc_id, sha256(regexp_replace(trim(regexp_replace(coalesce(text, ''), '[\s\x{00A0}\x{3000}\x0B]+', ' ', 'g')), '(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}', '[redacted-email]', 'g')) AS text_sha256,
@@ -74,14 +74,14 @@ def email_redaction(spark: SparkSession, d: str) -> DataFrame:
 @R.add()
 def pii_redaction(spark: SparkSession, d: str) -> DataFrame:
     """All redaction rules (not in SQL: rules that look behind)."""
-    out = T.redact(F.col("text"))
     marks = {s.strip("[]").replace("-", "_"): s for _, s in T.REDACTIONS}
-    return table(spark, d, "documents").select("doc_id", F.sha2(out, 256).alias("text_sha256"), *(F.regexp_count(out, F.lit(rf"\Q{s}\E")).alias(n) for n, s in marks.items()))
+    out = F.col("out")  # a column of its own, so that the rules run once a text
+    return table(spark, d, "documents").select("doc_id", T.redact(F.col("text")).alias("out")).select("doc_id", F.sha2(out, 256).alias("text_sha256"), *(F.regexp_count(out, F.lit(rf"\Q{s}\E")).alias(n) for n, s in marks.items()))
 
 
-@R.add("SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(coalesce(text, ''), '{p}') THEN '{n}' END" for n, p in TOPIC_WORDS[:5]) + "], lambda x: x IS NOT NULL), ',') AS topics FROM documents")
+@R.add("SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(coalesce(text, ''), '{p}') THEN '{n}' END" for n, p in TOPIC_WORDS) + "], lambda x: x IS NOT NULL), ',') AS topics FROM documents")
 def topic_tagging(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.array_join(extract.topics(T.text_of(F.col("text")), TOPIC_WORDS[:5]), ",").alias("topics"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(extract.topics(T.text_of(F.col("text")), TOPIC_WORDS), ",").alias("topics"))
 
 
 @R.add(r"""SELECT doc_id, nullif(regexp_extract(coalesce(text, ''), '([A-Z][a-z]{3,12})', 1), '') AS first_name, list_sort(list_distinct(regexp_extract_all(coalesce(text, ''), '[0-9]{3,6}')), 'ASC')[1] AS least_number FROM documents""")
@@ -133,14 +133,14 @@ def _bound(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
     rows = p.groupBy("p_brand", "p_type", "p_name").agg(F.min("p_partkey").alias("k"))
     one = rows.select(F.col("k").cast("string").alias("fingerprint"), F.col("p_type").alias("record_type"), F.lit(0).alias("year"), F.col("p_brand").alias("university"), F.col("p_type").alias("department"), F.col("p_name").alias("admission"))
-    apps = rows.select(F.col("k").cast("string").alias("identity_key"), F.lit(0).alias("year"), F.col("p_brand").alias("university"), F.col("p_type").alias("department"), F.split("p_name", " ")[1].alias("admission"))
+    apps = rows.select(F.col("k").cast("string").alias("identity_key"), F.lit(0).alias("year"), F.col("p_brand").alias("university"), F.concat("p_type", F.when(F.col("k") % 3 == 0, "학과").otherwise("")).alias("department"), F.split("p_name", " ")[1].alias("admission"))
     return binding.bind_records(one, apps)
 
 
 _BOUND = """rows AS (SELECT p_brand, p_type, p_name, min(p_partkey)::VARCHAR AS k FROM part GROUP BY 1, 2, 3), keyed AS (SELECT *, lower(p_brand) AS u, regexp_replace(lower(p_type), '[^0-9a-z]', '', 'g') AS t,
  regexp_replace(lower(p_name), '[^0-9a-z]', '', 'g') AS r, regexp_replace(lower(string_split(p_name, ' ')[2]), '[^0-9a-z]', '', 'g') AS a FROM rows),
-bound AS (SELECT x.k AS identity_key, y.k AS fingerprint, y.p_type AS record_type, 'exact' AS unit_match, CASE WHEN x.a = y.r THEN 'exact' ELSE 'related' END AS track_match,
- CASE WHEN x.a = y.r THEN 'accepted' ELSE 'provisional' END AS match_class, y.u || '|' || y.t || '|' || y.r AS signature
+bound AS (SELECT x.k AS identity_key, y.k AS fingerprint, y.p_type AS record_type, CASE WHEN x.k::BIGINT % 3 = 0 THEN 'suffix-equivalent' ELSE 'exact' END AS unit_match, CASE WHEN x.a = y.r THEN 'exact' ELSE 'related' END AS track_match,
+ CASE WHEN x.a = y.r AND x.k::BIGINT % 3 <> 0 THEN 'accepted' ELSE 'provisional' END AS match_class, y.u || '|' || y.t || '|' || y.r AS signature
  FROM keyed x JOIN keyed y ON x.u = y.u AND x.t = y.t WHERE x.a <> '' AND (x.a = y.r OR (length(x.a) >= 2 AND length(y.r) >= 2 AND (contains(x.a, y.r) OR contains(y.r, x.a)))))"""
 
 

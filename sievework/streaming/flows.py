@@ -16,20 +16,25 @@ def ingest_batch(folder: str):
     """A foreachBatch function: chunks that were not seen before are stored once, bad ones go to a dead-letter folder.
 
     Records and the ledger of seen chunks are Parquet under ``folder``, written
-    to a folder a batch, so a batch that is retried overwrites itself. The
-    ledger is read without the batch's own entry for the same reason.
+    to a folder a query and batch, so a batch that is retried overwrites itself
+    and a query with a new checkpoint, whose batches count from 0 again, nothing
+    of an older one. The ledger is read without what the query wrote from this
+    batch on, for the same reason.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        query = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "none"
+        at = f"query={query}/batch={batch_id}"
         rows = batch.withColumn("errors", captures.chunk_errors())
-        rows.filter(F.size("errors") > 0).write.mode("overwrite").json(f"{folder}/dead/batch={batch_id}")
+        rows.filter(F.size("errors") > 0).write.mode("overwrite").json(f"{folder}/dead/{at}")
         good = rows.filter(F.size("errors") == 0).drop("errors").dropDuplicates(["runId", "chunkId"])
-        if batch_id > 0:
-            seen = spark.read.schema("runId string, chunkId string, batch long").parquet(f"{folder}/ledger").filter(F.col("batch") < batch_id)
-            good = good.join(seen.select("runId", "chunkId"), ["runId", "chunkId"], "left_anti")
-        captures.chunk_records(good).write.mode("overwrite").parquet(f"{folder}/records/batch={batch_id}")
-        good.select("runId", "chunkId").write.mode("overwrite").parquet(f"{folder}/ledger/batch={batch_id}")
+        spark.createDataFrame([], "runId string, chunkId string").write.mode("ignore").parquet(f"{folder}/ledger/query=begun/batch=-1")
+        seen = spark.read.schema("runId string, chunkId string, query string, batch long").parquet(f"{folder}/ledger")
+        seen = seen.filter((F.col("query") != query) | (F.col("batch") < batch_id)).select("runId", "chunkId").distinct()
+        good = good.join(seen, ["runId", "chunkId"], "left_anti")
+        captures.chunk_records(good).write.mode("overwrite").parquet(f"{folder}/records/{at}")
+        good.select("runId", "chunkId").write.mode("overwrite").parquet(f"{folder}/ledger/{at}")
 
     return run
 

@@ -242,3 +242,12 @@ def test_all_public_links_of_a_page(spark):
     got = extract.public_links(pages, "page_id", ("example.com",)).orderBy("place").collect()
     assert [r.place for r in got] == list(range(1, 251)) and got[-1].url.endswith("/p/249")
     assert extract.public_links(pages, "page_id", ("example.com",), most=7).count() == 7
+
+
+def test_bind_records_meets_units_by_one_suffix(spark):
+    """Units that differ by one suffix meet once, also where the shorter one ends in a suffix itself."""
+    records = spark.createDataFrame([(f"r{i}", "t", 0, "가나대학교", d, "일반") for i, d in enumerate(["물리", "물리학과", "물리학과전공", "화학", None])], "fingerprint string, record_type string, year int, university string, department string, admission string")
+    apps = records.select(F.col("fingerprint").alias("identity_key"), "year", "university", "department", "admission")
+    got = sorted((r.identity_key, r.fingerprint, r.unit_match) for r in binding.bind_records(records, apps).collect())
+    want = [("r0", "r0", "exact"), ("r0", "r1", "suffix-equivalent"), ("r1", "r0", "suffix-equivalent"), ("r1", "r1", "exact"), ("r1", "r2", "suffix-equivalent"), ("r2", "r1", "suffix-equivalent"), ("r2", "r2", "exact"), ("r3", "r3", "exact")]
+    assert got == want

@@ -25,6 +25,17 @@ def test_ingest_stores_chunks_once(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "out/dead")).count() == 3
 
 
+def test_a_new_checkpoint_keeps_what_was_stored(spark, tmp_path):
+    """Batches of a new checkpoint count from 0: they overwrite nothing and store nothing twice."""
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "1.json").write_text(_chunk("r", "a", 2))
+    flows.ingest(spark, str(src), str(tmp_path / "out"), str(tmp_path / "cp1")).awaitTermination()
+    (src / "2.json").write_text(_chunk("r", "b", 3))
+    flows.ingest(spark, str(src), str(tmp_path / "out"), str(tmp_path / "cp2")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out/records")).count() == 5
+
+
 @pytest.fixture
 def rocks(spark):
     key = "spark.sql.streaming.stateStore.providerClass"
