@@ -13,7 +13,7 @@ title string, url string, navigationKey string, collectedAt timestamp,
 session struct<needsLogin:boolean,authenticated:boolean>, pageState struct<isError:boolean,errorType:string>,
 listMeta struct<totalItems:int,visibleDataRows:int>, context array<string>, selectionContext array<string>, blocks array<string>,
 tables array<struct<caption:string,rows:array<array<string>>>>,
-navigationLinks array<struct<label:string,url:string,exportUrl:string>>, resourceLinks array<struct<label:string,url:string>>, collectionPage int
+navigationLinks array<struct<label:string,url:string,exportUrl:string>>, resourceLinks array<struct<label:string,url:string>>, collectionPage int, collectionPagination struct<pageSize:int>
 """
 RECORD = (
     "struct<sourceRowFingerprint:string,recordType:string,university:string,campus:string,department:string,admission:string,"
