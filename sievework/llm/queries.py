@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, licences, mixing, neighbours, personal_data, quality, token_files, toxicity, url_filter
+from . import alignment, decontaminate, jaccard, licences, mixing, neighbours, perplexity, personal_data, quality, resampling, token_files, toxicity, url_filter
 from .common import table
 
 
@@ -48,7 +48,20 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), alignment.path(alignment.TOKENIZER_A), alignment.path(alignment.TOKENIZER_B))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.quality_rules(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_license_scans, op3_mixing_sources, op4_benchmark_decontamination, op5_url_filters,
     op6_toxicity, op7_pii, op8_token_output, op9_nearest_neighbours, op10_quality_classifier,
+    op11_importance_resampling, op12_tokenizer_alignment, op13_quality_rules,
 )}

@@ -20,6 +20,7 @@ SHINGLE = 5
 
 _BYTES = np.arange(256, dtype=np.uint8)
 LOWER = np.where((_BYTES >= 0x41) & (_BYTES <= 0x5A), _BYTES + 32, _BYTES).astype(np.uint8)
+AS_IT_IS = _BYTES
 #: Words of the shingle and size contracts: runs without white space.
 NOT_SPACE = ~((_BYTES == 0x20) | ((_BYTES >= 0x09) & (_BYTES <= 0x0D)))
 #: Words of the phrase and benchmark contracts: letters, digits, non-ASCII.
@@ -73,16 +74,16 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 
 
 class Slice:
-    """Some consecutive texts of a column: ``buf`` is lower-cased, text i lies in ``buf[first[i]:last[i]]``."""
+    """Some consecutive texts of a column: ``buf`` has their bytes as ``fold`` maps them, text i lies in ``buf[first[i]:last[i]]``."""
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, at: int):
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, at: int, fold: np.ndarray = LOWER):
         n = len(offsets) - 1
         self.at, self.n, self.raw, self.offsets = at, n, raw, offsets
         sep = offsets[1:] - offsets[0] + np.arange(n)
         buf = np.empty(len(raw) + n, np.uint8)
         keep = np.ones(len(buf), bool)
         keep[sep] = False
-        buf[keep] = LOWER[raw]
+        buf[keep] = fold[raw]
         buf[sep] = 0x20
         self.buf, self.last = buf, sep
         self.first = np.concatenate([[0], sep[:-1] + 1]).astype(np.int64)
@@ -117,8 +118,8 @@ class Slice:
                 yield h[:0]
 
 
-def parts(column: pa.Array, at_most: int = SLICE_BYTES) -> Iterator[Slice]:
-    """The column's texts in order, cut into slices of about ``at_most`` bytes; a null text is empty."""
+def parts(column: pa.Array, at_most: int = SLICE_BYTES, fold: np.ndarray = LOWER) -> Iterator[Slice]:
+    """The column's texts in order, cut into slices of about ``at_most`` bytes; a null text is empty. ``fold`` maps each byte: lower case, or ``AS_IT_IS``."""
     if pa.types.is_dictionary(column.type):
         column = column.dictionary_decode()
     if column.null_count:
@@ -133,7 +134,7 @@ def parts(column: pa.Array, at_most: int = SLICE_BYTES) -> Iterator[Slice]:
     while lo < len(column):
         hi = max(lo + 1, int(np.searchsorted(off, off[lo] + at_most, "right")) - 1)
         hi = min(hi, len(column))
-        yield Slice(data[off[lo] : off[hi]], off[lo : hi + 1], lo)
+        yield Slice(data[off[lo] : off[hi]], off[lo : hi + 1], lo, fold)
         lo = hi
 
 

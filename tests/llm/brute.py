@@ -193,3 +193,110 @@ def boosted(x, y, trees: int, depth: int, bins: int, rate: float, ridge: float,
             for i in rows:
                 total[i] -= rate * sum(grad[j] for j in rows) / (sum(hess[j] for j in rows) + ridge)
     return [1 / (1 + math.exp(-t)) for t in total]
+
+
+def resampled(docs: list[tuple[int, str | None]], items: list[str | None]) -> list[tuple]:
+    """doc_id, n_features, weight, score, rank of each row."""
+    import math
+
+    def features(text):
+        w = alnum(text)
+        return w + [b" ".join(w[i : i + 2]) for i in range(len(w) - 1)]
+
+    own = [features(t) for _, t in docs]
+    s, t = (Counter(zlib.crc32(f) % 10000 for some in many for f in some) for many in (own, [features(x) for x in items]))
+    s_all, t_all = sum(s.values()), sum(t.values())
+    gain = [math.floor(1000 * math.log((t[b] + 1) * (s_all + 10000) / ((s[b] + 1) * (t_all + 10000)))) for b in range(10000)]
+    out, may = [], []
+    for (doc_id, text), some in zip(docs, own, strict=True):
+        weight = sum(gain[zlib.crc32(f) % 10000] for f in some) // len(some) if some else 0
+        h = int(hashlib.sha256(f"7:{'' if doc_id is None else doc_id}".encode()).hexdigest()[:8], 16)
+        out.append([doc_id, len(some), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None])
+        may.append(len(alnum(text)) >= 20)
+    best = sorted((x for x, m in zip(out, may, strict=True) if m), key=lambda x: (-x[3], x[0] is None, x[0] or 0, x[1], x[2]))
+    for rank, x in enumerate(best[: 25 * len(best) // 100], 1):
+        x[4] = rank
+    return [tuple(x) for x in out]
+
+
+def aligned(docs: list[tuple[int, str | None]], path_a: str, path_b: str) -> list[tuple]:
+    """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of each row; texts are encoded whole."""
+    from sentencepiece import SentencePieceProcessor
+    from tokenizers import Tokenizer
+
+    a_of, b_of = Tokenizer.from_file(path_a), SentencePieceProcessor(model_file=path_b)
+    a_of.encode_special_tokens = True
+    keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    char, n = {b: chr(b) for b in keep}, 0
+    for b in range(256):
+        if b not in char:
+            char[b], n = chr(256 + n), n + 1
+    back = {c: b for b, c in char.items()}
+    rows, counts = [], Counter()
+    for doc_id, text in docs:
+        groups, linked = [], []
+        if text:
+            a, b = a_of.encode(" " + text, add_special_tokens=False).ids, b_of.encode(text)
+            bytes_a = [bytes(back[c] for c in a_of.id_to_token(i)) for i in a]
+            bytes_b = [bytes([int(b_of.id_to_piece(i)[3:5], 16)]) if b_of.is_byte(i) else b_of.id_to_piece(i).replace("\u2581", " ").encode() for i in b]
+            if b"".join(bytes_a) == (" " + text).encode() == b"".join(bytes_b):
+                ends = []
+                for some in (bytes_a, bytes_b):
+                    at, own = 0, []
+                    for x in some:
+                        at += len(x)
+                        own.append(at)
+                    ends.append(own)
+                i = j = 0
+                for end in sorted(set(ends[0]) & set(ends[1])):
+                    p, q = ends[0].index(end, i) + 1, ends[1].index(end, j) + 1
+                    groups.append((a[i:p], b[j:q]))
+                    linked.append((a[p - 1], b[q - 1]))
+                    i, j = p, q
+        counts.update(linked)
+        rows.append((doc_id, groups, linked))
+    most = {}
+    for (_, y), n in counts.items():
+        most[y] = max(most.get(y, 0), n)
+    out = []
+    for doc_id, groups, linked in rows:
+        written = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups)
+        out.append((doc_id, sum(len(x) for x, _ in groups), sum(len(y) for _, y in groups), len(groups), len(linked), sum(counts[p] == most[p[1]] for p in linked), sum(counts[p] for p in linked), hashlib.sha256(written.encode()).hexdigest() if groups else ""))
+    return out
+
+
+def plain_rules(text: str | None) -> tuple:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
+    t = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", t)
+    windows = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+    repeated = {i + k for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for k in range(3)}
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    n = len(words)
+    return n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(repeated), n < 50 or 100 * len(repeated) > 50 * n
+
+
+def kneser_ney(texts: list[tuple[str, str | None]], order: int) -> list[int]:
+    """The whole cost of each (language, text), by a model over all of them, n-gram by n-gram."""
+    import math
+
+    grams = lambda t: [(b"\0" * (order - 1) + t)[i : i + order] for i in range(len(t))]
+    coded = [(lang, (t or "").encode()) for lang, t in texts]
+    counts = {order: Counter((lang, g) for lang, t in coded for g in grams(t))}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter((lang, g[1:]) for lang, g in counts[k + 1])
+    p, rest = {0: defaultdict(lambda: 1 / 256)}, {}
+    for k in range(1, order + 1):
+        t1, t2, t3, t4 = (sum(n == j for n in counts[k].values()) for j in (1, 2, 3, 4))
+        d = [0.5, 1.0, 1.5]
+        if t1 and t2 and t3:
+            y = t1 / (t1 + 2 * t2)
+            d = [x if 0 < x < j + 1 else d[j] for j, x in enumerate((1 - 2 * y * t2 / t1, 2 - 3 * y * t3 / t2, 3 - 4 * y * t4 / t3))]
+        total, off = Counter(), defaultdict(lambda: [0, 0, 0])
+        for (lang, g), n in counts[k].items():
+            total[lang, g[:-1]] += n
+            off[lang, g[:-1]][min(n, 3) - 1] += 1
+        rest[k] = {c: (d[0] * x + d[1] * y + d[2] * z) / total[c] for c, (x, y, z) in off.items()}
+        p[k] = {(lang, g): (n - d[min(n, 3) - 1]) / total[lang, g[:-1]] + rest[k][lang, g[:-1]] * p[k - 1][lang, g[1:]] for (lang, g), n in counts[k].items()}
+    whole = lambda x: math.floor(-math.log(x) * 65536)
+    return [sum(whole(p[order][lang, g]) for g in grams(t)) for lang, t in coded]
