@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import checkpoints, evidence, ledgers
+from . import checkpoints, collection, evidence, ledgers
 
 
 def queries() -> dict:
-    return checkpoints.R.queries | evidence.R.queries | ledgers.R.queries
+    return checkpoints.R.queries | evidence.R.queries | ledgers.R.queries | collection.R.queries
 
 
 def oracle_sql() -> dict[str, str]:
-    return checkpoints.R.sql | evidence.R.sql | ledgers.R.sql
+    return checkpoints.R.sql | evidence.R.sql | ledgers.R.sql | collection.R.sql
