@@ -101,7 +101,7 @@ def test_quality_rules_equal_brute_force(spark, documents):
 def test_costs_equal_brute_force(spark, documents, broadcast):
     some = [d for d in documents if len(d[1] or "") < 1500][:40] + [(10**6 + i, t, lang) for i, (_, t, lang) in enumerate(EDGE) if len(t or "") < 6000]
     df = spark.createDataFrame(some, SPEC)
-    for order in (1, 3, 5):
+    for order in (2, 5):
         found = {r.doc_id: r.cost for r in perplexity.scores(df, perplexity.Model(df, order), broadcast).collect()}
         want = brute.kneser_ney([(lang or "", t) for _, t, lang in some], order)
         assert max(abs(found[d] - w) / max(len((t or "").encode()), 1) for (d, t, _), w in zip(some, want, strict=True)) < 0.01
@@ -129,9 +129,8 @@ def test_bands_take_junk_and_leave_prose(spark):
     vocabulary = ["".join(rng.choice(["the", "in", "er", "on", "tion", "re", "st"]) for _ in range(rng.choice([1, 2, 3]))) for _ in range(800)]
     prose = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([60, 150, 400]))), "en") for i in range(300)]
     noise = [(1000 + i, " ".join("".join(rng.choice("qxzjkvw0123456789") for _ in range(7)) for _ in range(80)), "en") for i in range(3)]
-    alphabet = [f"{a}{b}" for a in "stuv" for b in "aeiou"]
-    easy = [(2000, " ".join("on" * (2 + i % 7) for i in range(160)) + " " + " ".join(rng.choice(alphabet) for _ in range(3)), "en")]
+    easy = [(2000, " ".join("on" * (100 + 7 * i) for i in range(60)), "en")]
     got = {r.doc_id: r for r in perplexity.quality_rules(spark.createDataFrame(prose + noise + easy, SPEC)).collect()}
     assert all(got[i].kept for i, *_ in prose)
     assert not any(got[i].kept for i, *_ in noise) and all(got[i].perplexity > got[i].high for i, *_ in noise)
-    assert got[2000].perplexity < got[2000].low
+    assert not got[2000].kept and not got[2000].base_failed and got[2000].perplexity < got[2000].low
