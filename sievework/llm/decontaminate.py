@@ -15,7 +15,8 @@ blocks are united per document.
 
 Null and empty texts have no words and no hits. Items without words have no
 window, items without id are left out. Documents that repeat are judged row by
-row, equal item_ids count once, whatever the number of their rows, and windows
+row; rows of the benchmark that repeat go before it is cut into blocks, and equal
+item_ids count once, whatever the number of their texts. Windows
 that several items share name all of them. Overlapping occurrences hit a word
 once. A very long text is a slice of its own, cut into stretches. An empty
 benchmark marks nothing, an empty table gives no rows. Extra columns, whatever
@@ -29,6 +30,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textbits as tb
@@ -43,6 +45,7 @@ BROADCAST_ROWS = 500_000
 _COMPARED = 20_000
 _STRETCH = 512
 _TABLE_BITS = 18
+_RANGE_BITS = 12
 
 
 def _block_hash(h: np.ndarray, end: np.ndarray, width: int) -> np.ndarray:
@@ -174,17 +177,31 @@ def _judge(n_words: int, n_hit: int, items) -> tuple[int, int, int, str, bool]:
 
 
 class Benchmark:
-    """The items, and how many blocks of bounded bytes they make. Any one block is compiled when it is asked for."""
+    """The distinct items, cut into blocks by running bytes. Any one block is compiled when it is asked for.
+
+    Items are ordered by a hash of theirs; the bytes before each come from sums
+    of ranges of hashes and running sums within a range. A block holds
+    ``block_bytes`` and one item more at most.
+    """
 
     def __init__(self, benchmark: DataFrame, block_bytes: int):
         items = benchmark.filter("item_id is not null and text is not null")
-        self.items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+        self.items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
         total = self.items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        self.blocks = max(1, -(-total // block_bytes))
+        self.blocks = 1
+        if total > block_bytes:
+            sized = cut(self.items.withColumns({"hash": F.xxhash64("item_id", "text"), "bytes": F.octet_length("text").cast("long")}).withColumn("range", F.shiftrightunsigned("hash", 64 - _RANGE_BITS)))
+            sums = sized.groupBy("range").agg(F.sum("bytes").alias("of_range"))
+            earlier = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
+            before = sums.select("range", F.coalesce(F.sum("of_range").over(earlier(W.orderBy("range"))), F.lit(0)).alias("before"))  # a row a range
+            within = F.coalesce(F.sum("bytes").over(earlier(W.partitionBy("range").orderBy("hash", "item_id"))), F.lit(0))
+            placed = sized.withColumn("within", within).join(F.broadcast(before), "range")
+            self.items = cut(placed.select("item_id", "text", F.floor((F.col("before") + F.col("within")) / block_bytes).alias("block")))
+            self.blocks = self.items.agg(F.max("block")).first()[0] + 1
 
     def block(self, k: int) -> list[Patterns]:
-        part = self.items if self.blocks == 1 else self.items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(self.blocks)) == k)
-        return compile_patterns([(r.item_id, r.text) for r in part.collect()])  # a block's bytes at most
+        part = self.items if self.blocks == 1 else self.items.filter(F.col("block") == k)
+        return compile_patterns([(r.item_id, r.text) for r in part.collect()])  # a block's bytes and one item at most
 
 
 def _one_scan(patterns):
@@ -232,23 +249,24 @@ _RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 str
 
 
 def _row() -> Column:
-    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    """128 bits of a row's id and text."""
+    return F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("-")), F.coalesce(F.col("text").cast("string"), F.lit("")))))
 
 
 def _of_blocks(docs: DataFrame, items: Benchmark) -> DataFrame:
-    """row (a hash of id and text) and _RESULT for each row of ``docs``, by a scan a block."""
+    """row (128 bits of id and text) and _RESULT for each row of ``docs``, by a scan a block."""
     sc = docs.sparkSession.sparkContext
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", _row())
     found = None
     for k in range(items.blocks):
         held = sc.broadcast(items.block(k))
-        one = mapped(rows.select("row", "text"), _hits_scan(held), "row long, hit array<long>, items array<long>").dropDuplicates(["row"])
+        one = mapped(rows.select("row", "text"), _hits_scan(held), "row binary, hit array<long>, items array<long>").dropDuplicates(["row"])
         one = cut(one)  # this block's hits are written before the next block comes
         held.destroy()
         found = one if found is None else found.unionByName(one)
     union = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))  # noqa: E731  # a row a block at most
     found = cut(found.groupBy("row").agg(F.size(union("hit")).cast("long").alias("n_hit"), union("items").alias("items")))
-    counted = mapped(rows.select("doc_id", "row", "text"), _word_counts, "doc_id long, row long, n_words long")
+    counted = mapped(rows.select("doc_id", "row", "text"), _word_counts, "doc_id long, row binary, n_words long")
     n_hit, items = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<long>"))
     names = F.array_join(F.array_sort(F.transform(items, lambda i: i.cast("string"))), ",")
     return counted.join(few(found, BROADCAST_ROWS), "row", "left").select(

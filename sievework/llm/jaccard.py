@@ -26,9 +26,12 @@ Jaccard similarity of at least 0.8, and their connected components.
 Empty or null texts have no set, link with nothing and are their own
 component. A repeated row is a copy; of links at exactly 0.8 all count. A very
 long text is one slice of its own, and its prefix is as long as its set asks
-for. A row without doc_id takes part under a key made of its text's hash, above
-all ids (which lie below 2**62), so it names a component of such rows alone, and
-that component is null. An empty table gives no rows. Extra columns are not
+for. Rows that share a doc_id but not the text are documents of their own, each
+with its own links: they take part under keys made of id and text, above all ids
+(which lie below 2**61), and a component that holds one is named by the smallest
+doc_id among all its rows. A row without doc_id takes part under a key made of its
+text's hash, above all those, so it names a component of such rows alone, and that
+component is null. An empty table gives no rows. Extra columns are not
 read, whatever their names; ``keep_one`` keeps them.
 """
 
@@ -41,7 +44,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textbits as tb
-from .common import batches_of, cut, few, fresh, mapped
+from .common import batches_of, cut, few, fresh, joined, mapped
 from .components import components
 
 PERCENT = 80
@@ -59,6 +62,8 @@ COMMON_FROM = 3
 HOT_COPIES, HOT_GROUPS, SALTS = 256, 256, 64
 #: Rows without doc_id are keyed from here on.
 UNNAMED = 1 << 62
+#: Rows of an id that several texts have are keyed from here on.
+ALIASED = 1 << 61
 _SALTS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344], np.uint64)
 _TURNS = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, (KEYS * ROWS_PER_KEY, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -270,8 +275,31 @@ def _with_component(rows: DataFrame, classes: DataFrame) -> DataFrame:
     )
 
 
-def _key() -> Column:
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(UNNAMED) + F.shiftrightunsigned(F.xxhash64("text"), 2))
+def _keyed(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
+    """``docs`` with a key that names a row's id and text, and (key, real id) of the ids that several texts have, if any do.
+
+    The key is the doc_id itself, so that few rows need a second name: those of
+    an id with several texts get one each, above all ids, and those without id
+    one above these.
+    """
+    doc_id, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    told = F.xxhash64(text, F.lit(1))
+    several = docs.filter("doc_id is not null").groupBy(doc_id.alias("id")).agg(F.min(told).alias("least"), F.max(told).alias("most")).filter("least <> most").select("id")
+    several = cut(several)
+    plain = F.coalesce(doc_id, F.lit(UNNAMED) + F.shiftrightunsigned(F.xxhash64(text), 2))
+    if several.isEmpty():
+        return docs.withColumn(key, plain), None
+    id_, found = fresh(docs, "id"), fresh(docs, "found")
+    own = F.lit(ALIASED) + F.shiftrightunsigned(F.xxhash64(doc_id, text), 3)
+    known, rows = several.select(F.col("id").alias(id_), F.lit(True).alias(found)), docs.withColumn(id_, doc_id)
+    if several.count() <= BROADCAST_IDS:
+        rows = rows.join(F.broadcast(known), id_, "left")
+    else:  # an id of very many rows goes to several tasks
+        salt = fresh(rows, "salt")
+        spread = known.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn(salt, F.pmod(told, F.lit(SALTS)).cast("int")).join(spread, [id_, salt], "left").drop(salt)
+    named = rows.withColumn(key, F.when(F.col(found), own).otherwise(plain)).drop(id_, found)
+    return named, cut(named.filter(F.col(key).between(ALIASED, UNNAMED - 1)).select(F.col(key).alias("doc_id"), doc_id.alias("real")).distinct())
 
 
 def _grouped(docs: DataFrame) -> DataFrame:
@@ -293,8 +321,16 @@ def _grouped(docs: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``docs`` (doc_id, text)."""
-    found = _grouped(docs.select(_key().alias("doc_id"), "text"))
+    key = fresh(docs, "key")
+    keyed, aliases = _keyed(docs.select("doc_id", "text"), key)
+    found = _grouped(keyed.select(F.col(key).alias("doc_id"), "text"))
     named = lambda c: F.when(F.col(c) < UNNAMED, F.col(c))
+    if aliases is not None:
+        found = cut(joined(found, aliases, "doc_id", BROADCAST_IDS))
+        names = found.filter("real is not null").groupBy("component_id").agg(F.min("real").alias("least"))
+        found = joined(found, cut(names), "component_id", BROADCAST_IDS)
+        component = F.least("least", F.when(F.col("component_id") < ALIASED, F.col("component_id")), F.when(F.col("component_id") >= UNNAMED, F.col("component_id")))
+        found = found.select(F.coalesce("real", "doc_id").alias("doc_id"), "n", component.alias("component_id"))
     return found.select(named("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), named("component_id").alias("component_id"))
 
 
@@ -303,8 +339,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Of rows that repeat a doc_id with the same text one stays; rows without
     text stay, as they are linked with nothing. A row without doc_id stays if
-    no row of its group has one and its text's hash is the smallest.
+    no row of its group has one and its text's hash is the smallest; one of an
+    id that several texts have stays if all rows of its group are such rows or
+    have no id, and its hash is the smallest.
     """
     key = fresh(docs, "key")
-    kept = _grouped(docs.select(_key().alias("doc_id"), "text")).filter("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
-    return docs.withColumn(key, _key()).join(kept, key, "left_semi").drop(key).dropDuplicates(["doc_id", "text"])
+    keyed, _ = _keyed(docs, key)
+    kept = _grouped(keyed.select(F.col(key).alias("doc_id"), "text")).filter("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(kept, key, "left_semi").drop(key).dropDuplicates(["doc_id", "text"])

@@ -302,8 +302,12 @@ def nearest(vectors: DataFrame, every: int = QUERY_EVERY, k: int = NEIGHBOURS) -
     sizes = few(cut(index.groupBy("tab", "bucket").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))), BROADCAST_ROWS)
     index = index.join(sizes, ["tab", "bucket"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
     asked = queries.mapInArrow(_hashed(dim, tables, probes), f"query_id long, embedding {kind}, tab int, bucket long")
-    asked = asked.join(sizes, ["tab", "bucket"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    key = ["tab", "bucket", "block"]
+    # queries of a bucket come in chunks, so that a group holds no more of either side than a block; buckets that no query probes end here
+    chunks = few(cut(asked.groupBy("tab", "bucket").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("chunks"))), BROADCAST_ROWS)
+    all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    index = index.join(chunks, ["tab", "bucket"]).withColumn("chunk", all_of("chunks"))
+    asked = asked.join(sizes, ["tab", "bucket"]).join(chunks, ["tab", "bucket"]).withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.col("chunks"))).withColumn("block", all_of("blocks"))
+    key = ["tab", "bucket", "block", "chunk"]
     found = "query_id long, vec_id long, score double"
     best = cut(
         index.select(*key, "vec_id", "embedding", "same").groupBy(*key)

@@ -1,23 +1,25 @@
-"""Toxicity by nearest labelled examples under exact TF-IDF cosine.
+"""Toxicity by nearest labelled examples under exact cosine of label-weighted TF-IDF.
 
 Terms are words (A-Z lower-cased) and the first five bytes of longer words. All
 terms of the labelled examples count that are in two of them at least and in
-``MOST_SHARE`` of them at most; nothing else is cut. A term's weight is its
-logarithmic frequency in the text, times its inverse document frequency over all
-documents, times how far its examples' labels lean from chance in either
-direction (standard deviations). Labelled examples form an inverted index in
-blocks, with the largest weight of each term in each block where it occurs. For
-a document, blocks are opened in order of their upper bound until no further
-block can reach the k-th best similarity, so the k nearest are exact. Their
-votes, weighted by squared similarity, and the share of toxic examples as prior
-give the score.
+``MOST_SHARE`` of them at most (a document frequency, whatever the label). A
+term's weight is its logarithmic frequency in the text, times its inverse
+document frequency over all documents, times how far its examples' labels lean
+from chance in either direction (standard deviations, to a power). That last
+factor isn't part of plain TF-IDF: without it most toxic documents are missed
+(README, with figures), as one rude word weighs little among hundreds of others.
+Labelled examples form an inverted index in blocks, with the largest weight of
+each term in each block where it occurs. For a document, blocks are opened in
+order of their upper bound until no further block can reach the k-th best
+similarity, so the k nearest are exact. Their votes, weighted by squared
+similarity, and the share of toxic examples as prior give the score.
 
 ``FIT_EXAMPLES`` labelled documents (those of smallest id hash) are used at
 most, each once however often it repeats; of an id's several labels the larger
 counts, of its several texts the smallest. Labels of the held-out fold never
-count. The label is never looked up for the document scored; an example does not
-vote for itself as it is a text among others (a fitted document may meet its own
-example, a held-out one cannot).
+count. An example has no vote on the document that it is: a row with an example's
+id leaves that example out, so its own label is no input of its score. Copies of
+an example under another id are documents of their own, for which it does vote.
 
 Null and empty texts hold no term and get the prior. A very long text is a slice
 of its own. Of equally near examples the earlier in the index votes. If no
@@ -28,6 +30,8 @@ whatever their names, are not read.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -44,6 +48,8 @@ NEIGHBOURS, BLOCK = 30, 64
 THRESHOLD = 0.3
 PRIOR_WEIGHT = 0.25
 _PREFIX = 5
+#: Texts whose votes a task remembers, some 400 bytes each whatever their length.
+REMEMBERED = 50_000
 #: Blocks that are opened at first, for a k-th best that others must reach.
 _OPENED = 4
 
@@ -157,10 +163,16 @@ class Index:
             worst = sims[-1] if len(sims) == k else 0.0
         return who, sims
 
-    def vote(self, terms: np.ndarray, weights: np.ndarray) -> tuple[float, list[int]]:
+    def vote(self, terms: np.ndarray, weights: np.ndarray, but: int | None = None) -> tuple[float, list[int]]:
+        """Score, and the ids of the three nearest; the example of id ``but`` has no vote."""
         if not len(terms) or not self.blocks:
             return self.prior, []
-        who, sims = self.nearest(terms, weights)
+        if but is None:
+            who, sims = self.nearest(terms, weights)
+        else:
+            who, sims = self.nearest(terms, weights, NEIGHBOURS + 1)
+            others = self.ids[who] != but
+            who, sims = who[others][:NEIGHBOURS], sims[others][:NEIGHBOURS]
         w = sims**2
         return float((w @ self.labels[who] + PRIOR_WEIGHT * self.prior) / (w.sum() + PRIOR_WEIGHT)), [int(i) for i in self.ids[who[:3]]]
 
@@ -199,16 +211,17 @@ def _frequencies(lookup):
 
 def _score(model):
     def run(batches):
-        m, memo = model.value, {}
+        m, memo, known = model.value, {}, set(model.value.index.ids.tolist())
         for batch in batches:
-            score, evidence = [], []
+            score, evidence, doc_id = [], [], batch.column(0).to_pylist()
             for part in tb.parts(batch.column(2)):
-                for terms, weights in m.vectors(part):
-                    key = (terms.tobytes(), weights.tobytes())
+                for i, (terms, weights) in enumerate(m.vectors(part), part.at):
+                    own = doc_id[i] if doc_id[i] in known else None
+                    key = (own, hashlib.blake2b(terms.tobytes() + weights.tobytes(), digest_size=16).digest())
                     got = memo.get(key)
                     if got is None:
-                        got = m.index.vote(terms, weights)
-                        if len(memo) < 100_000:
+                        got = m.index.vote(terms, weights, own)
+                        if len(memo) < REMEMBERED:
                             memo[key] = got
                     score.append(got[0]), evidence.append(got[1])
             yield pa.RecordBatch.from_arrays(

@@ -93,6 +93,25 @@ def test_jaccard_of_hot_sets_and_tokens(spark, monkeypatch, few):
     assert got == brute.jaccard(docs)
 
 
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_one_id_with_several_texts(spark, monkeypatch, few):
+    """Each text has its own links, in whatever order the rows come; the component has the smallest id of its rows."""
+    monkeypatch.setattr(jaccard, "BROADCAST_IDS", few)
+    rng = random.Random(11)
+    words = lambda n: [f"q{rng.randrange(10**9)}" for _ in range(n)]
+    near = lambda w: " ".join([*w[:150], "other", *w[151:]])
+    a, b, c = words(300), words(300), words(300)
+    docs = [(1, " ".join(a)), (1, " ".join(b)), (2, near(b)), (3, " ".join(c)), (3, near(c)), (3, " ".join(c)), (7, "x y"), (7, "z"), (None, near(c)), (5, near(a)), (9, None), (9, "")]
+    want = sorted([(1, 296, 1), (1, 296, 1), (2, 296, 1), (3, 296, 3), (3, 296, 3), (3, 296, 3), (7, 1, 7), (7, 1, 7), (None, 296, 3), (5, 296, 1), (9, 0, 9), (9, 0, 9)], key=str)
+    for rows_ in (docs, docs[::-1], [docs[1], docs[0], *docs[2:]]):
+        df = spark.createDataFrame(rows_, "doc_id long, text string").withColumns({"a.b": F.lit(1), "salt": F.lit(2), "Id": F.lit(3), "found": F.lit(4)})
+        assert sorted(rows(jaccard.near_duplicates(df)), key=str) == want
+        kept = jaccard.keep_one(df)
+        assert kept.columns == df.columns
+        # one row of A and its copy, of B and its copy, of C; two short ones, two without text
+        assert len([r for r in kept.collect() if r.text and len(r.text) > 100]) == 3 and kept.count() == 7
+
+
 def test_rows_without_id_stay_once(spark):
     docs = [(1, "a b c d e f"), (None, "a b c d e f"), (None, "x y z"), (None, "x  y z"), (None, "x y z"), (None, None), (2, "q")]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"key": F.lit(1), "a.b": F.lit(2), "_KEY": F.lit(3)})
@@ -393,9 +412,9 @@ def test_neighbours_of_mixed_lengths(spark):
     assert recall_of_neighbours(rows(neighbours.nearest(df)), exact_neighbours(ids, x)) >= 0.95
 
 
-@pytest.mark.parametrize(("few", "k"), [(8, 10), (40, 10)])
+@pytest.mark.parametrize(("few", "k"), [(8, 10), (40, 10), (150, 10)])
 def test_neighbours_all_come_back(spark, monkeypatch, few, k):
-    """Candidates opposite to the query come back where there are no nearer ones, also when rows and queries fill several blocks."""
+    """Candidates opposite to the query come back where there are no nearer ones, also when a bucket's rows and queries fill many blocks and chunks."""
     monkeypatch.setattr(neighbours, "BLOCK_ROWS", 3)
     rng = np.random.default_rng(5)
     base = np.zeros(64)
@@ -487,7 +506,18 @@ def test_contamination_in_blocks(spark, edge, monkeypatch):
         assert kept.columns == docs.columns and sorted((r.doc_id for r in kept.collect()), key=str) == sorted((w[0] for w in want if not w[5]), key=str)
 
 
-@pytest.mark.parametrize("name", ["op3_mixing_sources", "op4_benchmark_decontamination"])
+def test_equal_items_fill_no_block(spark):
+    """Rows of the benchmark that repeat come to the driver once; a block holds its bytes and one item more at most."""
+    items = [(1, "one item that comes five thousand times in all of its words")] * 5_000 + [(10 + i, " ".join(f"v{i * j}" for j in range(4 + i))) for i in range(40)]
+    held = decontaminate.Benchmark(spark.createDataFrame(items, "item_id long, text string"), 2_000)
+    blocks = [held.items.filter(F.col("block") == k).collect() for k in range(held.blocks)]
+    most = max(len(t) for _, t in items)
+    assert held.blocks > 2 and sorted((r.item_id, r.text) for b in blocks for r in b) == sorted(set(items))
+    assert all(sum(len(r.text) for r in b) < 2_000 + most for b in blocks)
+    assert decontaminate.Benchmark(spark.createDataFrame(items[:5_000], "item_id long, text string"), 2_000).blocks == 1
+
+
+@pytest.mark.parametrize("name", ["op3_mixing_sources", "op4_benchmark_decontamination", "op11_importance_resampling"])
 def test_sql_agrees(spark, name):
     """The SQL parses in the installed DuckDB and gives the query's rows."""
     import duckdb
