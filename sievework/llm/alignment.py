@@ -47,7 +47,7 @@ from .common import cut, few, mapped
 TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 SLICE_BYTES = 1 << 20
 #: Pieces that a Python worker remembers, some 200 bytes each.
-KNOWN_PIECES = 400_000
+KNOWN_PIECES = 600_000
 #: Pieces that are encoded at a time.
 _PIECES = 4_096
 #: Distinct groups that may be broadcast, 24 bytes each.
@@ -120,14 +120,24 @@ class Aligner:
         self.facts = np.zeros((0, 4), np.int64)
         self.written: list[bytes] = []
         self.first, self.keys = np.zeros(1, np.int64), np.empty(0, np.uint64)
-        self.groups: dict[int, tuple[list[int], list[int]]] = {}
+        self.groups: dict[int, tuple[list[int], list[int], bytes]] = {}
         self.times = np.zeros(0, np.int64)
         #: Count of links and best links of each piece, filled in as far as asked for.
         self.worth, self.worth_of = np.zeros((0, 2), np.int64), None
 
+    def _comes_back(self, pieces: list[bytes], a: list[list[int]], b: list[list[int]]) -> list[bool]:
+        """Whether the bytes of A's and of B's tokens are the piece: of all at once if they are, else one by one."""
+        whole, sizes = b"".join(pieces), list(map(len, pieces))
+        for ids, of, size in ((a, self.t.bytes_a, self.t.size_a), (b, self.t.bytes_b, self.t.size_b)):
+            flat = list(chain.from_iterable(ids))
+            ends = np.concatenate([[0], np.cumsum(size[flat])])[np.cumsum(list(map(len, ids)))]
+            if b"".join([of[i] for i in flat]) != whole or ends.tolist() != np.cumsum(sizes).tolist():
+                return [b"".join([self.t.bytes_a[i] for i in x]) == p == b"".join([self.t.bytes_b[i] for i in y]) for p, x, y in zip(pieces, a, b, strict=True)]
+        return [True] * len(pieces)
+
     def _learn(self, pieces: list[bytes]) -> None:
         a, b = self.t.encode([p.decode() for p in pieces])
-        ok = [b"".join([self.t.bytes_a[i] for i in x]) == p == b"".join([self.t.bytes_b[i] for i in y]) for p, x, y in zip(pieces, a, b, strict=True)]
+        ok = self._comes_back(pieces, a, b)
         a, b = ([x if good else [] for x, good in zip(ids, ok, strict=True)] for ids in (a, b))
         n_a, n_b = (np.fromiter(map(len, ids), np.int64, len(ids)) for ids in (a, b))
         flat_a, flat_b = (np.fromiter(chain.from_iterable(ids), np.int64) for ids in (a, b))
@@ -138,12 +148,14 @@ class Aligner:
         piece_ends = np.concatenate([[0], np.cumsum(np.where(ok, [len(p) for p in pieces], 0))])
         group_of = np.searchsorted(both, piece_ends, "right")
         keys = tb.mix(_key(flat_a, first_a, 1) * np.uint64(3) + _key(flat_b, first_b, 2)) if len(both) else np.empty(0, np.uint64)
-        text_a, text_b = list(map(str, flat_a.tolist())), list(map(str, flat_b.tolist()))
-        one = [f"{','.join(text_a[p : q + 1])}|{','.join(text_b[r : s + 1])}" for p, q, r, s in zip(first_a.tolist(), last_a.tolist(), first_b.tolist(), last_b.tolist(), strict=True)]
-        self.written += [";".join(one[i:j]).encode() for i, j in zip(group_of[:-1].tolist(), group_of[1:].tolist(), strict=True)]
-        for k in np.unique(keys, return_index=True)[1].tolist():
-            if int(keys[k]) not in self.groups:
-                self.groups[int(keys[k])] = flat_a[first_a[k] : last_a[k] + 1].tolist(), flat_b[first_b[k] : last_b[k] + 1].tolist()
+        distinct, at, back = np.unique(keys, return_index=True, return_inverse=True)
+        for key, k in zip(distinct.tolist(), at.tolist(), strict=True):  # each group is taken apart and written out once
+            if key not in self.groups:
+                ids = flat_a[first_a[k] : last_a[k] + 1].tolist(), flat_b[first_b[k] : last_b[k] + 1].tolist()
+                self.groups[key] = (*ids, f"{','.join(map(str, ids[0]))}|{','.join(map(str, ids[1]))}".encode())
+        some = [self.groups[key][2] for key in distinct.tolist()]
+        one = [some[j] for j in back.tolist()]
+        self.written += [b";".join(one[i:j]) for i, j in zip(group_of[:-1].tolist(), group_of[1:].tolist(), strict=True)]
         self.facts = np.concatenate([self.facts, np.stack([n_a, n_b, np.diff(group_of), np.array(ok, np.int64)], axis=1)])
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.diff(group_of))])
         self.keys = np.concatenate([self.keys, keys])
@@ -255,7 +267,7 @@ def _group_counts(path_a: str, path_b: str):
             keys, n = aligner.counted()
             for lo in range(0, len(keys), 20_000):
                 some = keys[lo : lo + 20_000]
-                a, b = zip(*(aligner.groups[k] for k in some), strict=True)
+                a, b, _ = zip(*(aligner.groups[k] for k in some), strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(tb.signed(np.array(some, np.uint64))), pa.array(a, pa.list_(pa.int32())), pa.array(b, pa.list_(pa.int32())), pa.array(n[lo : lo + 20_000])], names=["key", "a", "b", "n"])
 
         aligner.times = np.zeros(0, np.int64)  # of a task that broke off
