@@ -195,7 +195,7 @@ def html_text(c: Column) -> Column:
     return squeeze(decode_entities(F.regexp_replace(s, r"<[^>]+>", " ")))
 
 
-def html_title(c: Column, most: int = 300) -> Column:
+def html_title(c: Column, most: int | None = None) -> Column:
     return squeeze(F.regexp_replace(F.regexp_extract(text_of(c), r"(?is)<title[^>]*>(.*?)</title>", 1), r"<[^>]+>", " "), most)
 
 

@@ -21,6 +21,13 @@ def host(url: Column) -> Column:
     return F.lower(_part(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"))
 
 
+def authority(url: Column) -> Column:
+    """Host and port; the port that the scheme has anyway is left out."""
+    port = _part(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?[^/?#:]+:([0-9]+)")
+    usual = F.when(scheme(url) == "https", "443").when(scheme(url) == "http", "80")
+    return F.concat(host(url), F.when(port.isNotNull() & ~port.eqNullSafe(usual), F.concat(F.lit(":"), port)).otherwise(""))
+
+
 def path(url: Column) -> Column:
     """The path, "/" if a URL has none, null if the text is no URL."""
     got = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
@@ -51,19 +58,19 @@ def canonical(url: Column) -> Column:
     kept = F.filter(_pairs(url), lambda p: ~F.regexp_extract(p, r"^([^=]*)", 1).rlike(SECRET_KEYS))
     return F.when(
         host(url).isNotNull(),
-        F.concat(scheme(url), F.lit("://"), host(url), path(url), F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")),
+        F.concat(scheme(url), F.lit("://"), authority(url), path(url), F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")),
     )
 
 
-def frontier_url(url: Column, domains: Column | tuple[str, ...], longest_value: int = 400) -> Column:
-    """The form in which a URL may enter the frontier; null unless https and on one of ``domains``."""
+def frontier_url(url: Column, domains: Column | tuple[str, ...], longest_value: int | None = None) -> Column:
+    """The form in which a URL may enter the frontier; null unless https and on one of ``domains``. With ``longest_value`` query keys with longer values go (the older collector: 400)."""
     allowed = F.lit(False)
     for d in domains:
         allowed = allowed | host_within(host(url), d)
     kept = F.filter(
-        _pairs(url), lambda p: ~F.regexp_extract(p, r"^([^=]*)", 1).rlike(SECRET_KEYS) & (F.length(F.regexp_extract(p, r"^[^=]*=?(.*)$", 1)) <= longest_value)
+        _pairs(url), lambda p: ~F.regexp_extract(p, r"^([^=]*)", 1).rlike(SECRET_KEYS) & ((F.length(F.regexp_extract(p, r"^[^=]*=?(.*)$", 1)) <= longest_value) if longest_value else F.lit(True))
     )
-    out = F.concat(F.lit("https://"), host(url), path(url), F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))
+    out = F.concat(F.lit("https://"), authority(url), path(url), F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))
     return F.when((scheme(url) == "https") & allowed, out)
 
 
@@ -106,20 +113,31 @@ def official(url: Column, domains: tuple[str, ...] = ("ac.kr",)) -> Column:
     return F.coalesce((scheme(url) == "https") & on & clean & ~secret, F.lit(False))
 
 
+def without_dots(path: Column) -> Column:
+    """A path that begins with "/" without its "." and ".." segments; ".." at the root stays there."""
+    parts = F.split(F.substring(path, 2, 1 << 30), "/", -1)
+    up = lambda done: F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda done, x: F.when(x == "..", up(done)).when(x == ".", done).otherwise(F.concat(done, F.array(x))))
+    folder = F.element_at(parts, -1).isin(".", "..") & (F.size(kept) > 0)
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(folder, "/").otherwise(""))
+
+
 def resolve(base: Column, link: Column) -> Column:
-    """A link against its page's URL: absolute, rooted, query-only or relative links; "./" and "../" at its start are followed once."""
-    root = F.concat(scheme(base), F.lit("://"), host(base))
+    """A link against its page's URL: absolute, rooted, query-only or relative links; "." and ".." are followed wherever they stand, the port is kept."""
+    root = F.concat(scheme(base), F.lit("://"), authority(base))
     folder = F.regexp_replace(path(base), r"[^/]*$", "")
-    up = F.regexp_replace(folder, r"[^/]+/$", "")
+    rest = F.regexp_extract(link, r"^[^?#]*(.*)$", 1)
+    told = F.regexp_extract(link, r"^([^?#]*)", 1)
+    # of an absolute link the path alone is without dots
+    lead = F.regexp_extract(link, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    whole = F.when((lead != "") & F.contains(told, F.lit("/.")), F.concat(lead, without_dots(F.substring(told, F.length(lead) + 1, F.length(told))), rest)).otherwise(link)
     return (
-        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link)
+        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), whole)
         .when(link.startswith("//"), F.concat(scheme(base), F.lit(":"), link))
-        .when(link.startswith("/"), F.concat(root, link))
         .when(link.startswith("?"), F.concat(root, path(base), link))
-        .when(link.startswith("#"), F.concat(root, path(base)))
-        .when(link.startswith("../"), F.concat(root, up, F.substring(link, F.lit(4), F.length(link))))
-        .when(link.startswith("./"), F.concat(root, folder, F.substring(link, F.lit(3), F.length(link))))
-        .otherwise(F.concat(root, folder, link))
+        .when(link.startswith("#") | (link == ""), F.concat(root, path(base), F.when(query(base).isNotNull(), F.concat(F.lit("?"), query(base))).otherwise("")))
+        .when(link.startswith("/"), F.concat(root, without_dots(told), rest))
+        .otherwise(F.concat(root, without_dots(F.concat(folder, told)), rest))
     )
 
 

@@ -135,7 +135,7 @@ def unpivot_years(tables: DataFrame, key: list[str], header: str = "header", cel
 
 def unique_headers(header: Column) -> Column:
     """Header cells made distinct: the second of a name gets #2, the third #3; blank ones are named by place."""
-    base = F.transform(header, lambda c, i: F.when(T.squeeze(c) == "", F.concat(F.lit("column"), (i + 1).cast("string"))).otherwise(T.squeeze(c, 1200)))
+    base = F.transform(header, lambda c, i: F.when(T.squeeze(c) == "", F.concat(F.lit("column"), (i + 1).cast("string"))).otherwise(T.squeeze(c)))
     return F.transform(base, lambda c, i: F.when(F.size(F.filter(F.slice(base, F.lit(1), i), lambda x: x == c)) > 0, F.concat(c, F.lit("#"), (F.size(F.filter(F.slice(base, F.lit(1), i), lambda x: x == c)) + 1).cast("string"))).otherwise(c))
 
 
@@ -150,7 +150,7 @@ def table_evidence(tables: DataFrame, key: list[str]) -> DataFrame:
     predicted = head.rlike(r"모의지원|합격예측|적정지원컷|내\s*점수|칸")
     past = year.isNotNull() | F.concat_ws(" ", "title", head).rlike("입시결과|충원|50%|70%|등급")
     t = t.select(*key, "header", year.alias("year"), F.when(predicted, "current-prediction-reference").when(past, "historical-reference").otherwise("admission-reference").alias("scope"), F.posexplode("rows").alias("row", "cells")).filter("row > 0")
-    filled = F.filter(F.arrays_zip(F.col("header").alias("k"), F.transform("cells", lambda c: T.squeeze(c, 1200)).alias("v")), lambda x: x["k"].isNotNull() & (F.coalesce(x["v"], F.lit("")) != ""))
+    filled = F.filter(F.arrays_zip(F.col("header").alias("k"), F.transform("cells", lambda c: T.squeeze(c)).alias("v")), lambda x: x["k"].isNotNull() & (F.coalesce(x["v"], F.lit("")) != ""))
     return t.withColumn("columns", F.map_from_entries(filled)).filter(F.size("columns") >= 2).select(*key, "row", "year", "scope", "columns")
 
 
@@ -163,7 +163,7 @@ def labelled_metrics(c: Column, patterns: dict[str, str]) -> Column:
 
 def metric_records(texts: DataFrame, key: list[str], text: str) -> DataFrame:
     """Texts that hold at least one labelled metric, with their inferred context and confidence."""
-    m = texts.select(*key, T.squeeze(F.col(text), 7000).alias("evidence")).withColumn("metrics", labelled_metrics(F.col("evidence"), ROW_METRICS))
+    m = texts.select(*key, T.squeeze(F.col(text)).alias("evidence")).withColumn("metrics", labelled_metrics(F.col("evidence"), ROW_METRICS))
     some = F.coalesce(*(F.col(f"metrics.{n}") for n in ROW_METRICS)).isNotNull()
     found = lambda p: F.nullif(F.trim(F.regexp_extract("evidence", p, 1)), F.lit(""))
     m = m.filter(some).withColumns({"university": found(ENTITY), "department": found(r"([가-힣A-Za-z0-9·]{2,40}(?:학과|학부|전공))"), "year": V.academic_year(F.col("evidence"))})
@@ -188,7 +188,7 @@ _NO_UNIT = r"경쟁률|합격|예측|내\s*점수|모의지원|전년도|지원
 def parse_cards(cards: DataFrame, text: str, target_year: int) -> DataFrame:
     """Adds what a card's label says, read from left to right: university, category, admission, campus, department, capacity."""
     some = lambda c: F.nullif(F.trim(c), F.lit(""))
-    c = cards.withColumn("_t", F.regexp_replace(T.squeeze(T.text_of(F.col(text)), 6000), _PREFIX, ""))
+    c = cards.withColumn("_t", F.regexp_replace(T.squeeze(T.text_of(F.col(text))), _PREFIX, ""))
     c = c.withColumn("_u", F.regexp_extract("_t", _ENTITY_AT_START, 1)).withColumn("_w", F.trim(F.expr("substring(_t, length(_u) + 1)")))
     c = c.withColumn("category", some(F.regexp_extract("_w", r"^\[([^\]]{1,24})\]", 1))).withColumn("_w", F.regexp_replace("_w", r"^\[[^\]]{1,24}\]\s*", ""))
     c = c.withColumn("admission", some(F.regexp_extract("_w", f"^({_TRACKS})", 1))).withColumn("_w", F.trim(F.expr("substring(_w, length(coalesce(admission, '')) + 1)")))
@@ -228,16 +228,20 @@ def topics(c: Column, patterns: tuple[tuple[str, str], ...] = TOPICS) -> Column:
     return F.array_compact(F.array(*(F.when(c.rlike(p), F.lit(name)) for name, p in patterns)))
 
 
-def strategy_insights(pages: DataFrame, key: list[str]) -> DataFrame:
-    """Topics, universities and admission types that (key, title, blocks) speaks of; a single one is the record's own."""
+def strategy_insights(pages: DataFrame, key: list[str], blocks: int | None = None, names: int | None = None, evidence: int | None = None, characters: int | None = None) -> DataFrame:
+    """Topics, universities and admission types that (key, title, blocks) speaks of; a single one is the record's own.
+
+    All blocks, names and evidence count; the older collector took 160 blocks, 24 names, 18 pieces of evidence of 1800 characters.
+    """
+    some = lambda c, n: c if n is None else F.slice(c, 1, n)
     whole = T.squeeze(F.concat_ws(" ", "title", F.array_join("blocks", " ")))
     p = pages.withColumn("_s", whole).filter("_s <> ''")
-    blocks = F.slice(F.filter(F.transform(F.slice("blocks", 1, 160), lambda b: T.squeeze(b)), lambda b: (F.length(b) >= 20) & b.rlike(RELEVANT)), 1, 18)
+    told = some(F.filter(F.transform(some(F.col("blocks"), blocks), lambda b: T.squeeze(b)), lambda b: (F.length(b) >= 20) & b.rlike(RELEVANT)), evidence)
     p = p.withColumns({
         "topics": topics(F.col("_s")),
-        "universities": F.array_distinct(F.slice(F.regexp_extract_all("_s", F.lit(ENTITY), F.lit(1)), 1, 24)),
+        "universities": some(F.array_distinct(F.regexp_extract_all("_s", F.lit(ENTITY), F.lit(1))), names),
         "admission_types": topics(F.col("_s"), TYPE_SIGNALS),
-        "evidence": F.transform(blocks, lambda b: F.substring(b, 1, 1800)),
+        "evidence": told if characters is None else F.transform(told, lambda b: F.substring(b, 1, characters)),
     })
     one = lambda c: F.when(F.size(c) == 1, F.get(c, F.lit(0)))
     sure = F.when((F.size("topics") > 0) & (F.size("evidence") > 0), "medium").otherwise("raw")

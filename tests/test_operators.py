@@ -111,6 +111,14 @@ def test_urls(spark):
     r = lambda link: one(spark, U.resolve(u, lit(link)))
     assert (r("c"), r("/c"), r("../c"), r("?q"), r("//h/c")) == ("https://www.example.com/a/c", "https://www.example.com/c", "https://www.example.com/c", "https://www.example.com/a/b.do?q", "https://h/c")
     assert one(spark, U.frontier_url(lit("http://www.example.com/"), ("example.com",))) is None
+    b = lit("https://h.example.com:8080/x/y/z.html?k=1#f")
+    r = lambda link: one(spark, U.resolve(b, lit(link)))
+    assert (r("/a/../b"), r("../../../c"), r("./d/./e/"), r(".."), r("f/.."), r("g/../h?u=/../v#w"), r("")) == tuple(
+        f"https://h.example.com:8080{x}" for x in ("/b", "/c", "/x/y/d/e/", "/x/", "/x/y/", "/x/y/h?u=/../v#w", "/x/y/z.html?k=1")
+    )
+    assert (r("http://o.com/a/./b/../c?d"), r("mailto:x@y.z")) == ("http://o.com/a/c?d", "mailto:x@y.z")
+    assert one(spark, U.canonical(b)) == "https://h.example.com:8080/x/y/z.html?k=1" and one(spark, U.canonical(lit("https://h.example.com:443/x"))) == "https://h.example.com/x"
+    assert one(spark, U.frontier_url(b, ("example.com",))) == "https://h.example.com:8080/x/y/z.html?k=1"
     assert one(spark, U.official(lit("https://ipsi.school.ac.kr/x"))) and not one(spark, U.official(lit("https://ipsi.school.ac.kr/x?token=1")))
     assert not one(spark, U.official(F.lit(None).cast("string")))
 
@@ -222,8 +230,12 @@ def test_stored_pages_and_export(spark, tmp_path):
     (tmp_path / "p").mkdir()
     (tmp_path / "p" / "a.html").write_bytes('<meta charset="euc-kr">가'.encode("euc-kr"))
     (tmp_path / "p" / "b.html").write_bytes(b"x" * 50)
-    got = captures.stored_pages(spark, str(tmp_path / "p"), most=40).collect()
-    assert len(got) == 1 and got[0].html.endswith("가")
+    (tmp_path / "p" / "c.html").write_bytes(b"plain words")
+    (tmp_path / "p" / "d.html").write_bytes(b"<html>Just a moment...</html>")
+    got = {r.path[-6:]: (r.html, r.rejected) for r in captures.stored_pages(spark, str(tmp_path / "p"), most=40).collect()}
+    assert got.pop("a.html")[0].endswith("가")
+    assert got == {"b.html": (None, "too-large"), "c.html": (None, "not-html"), "d.html": ("<html>Just a moment...</html>", "challenge")}
+    assert captures.stored_pages(spark, str(tmp_path / "p")).filter("rejected = 'too-large'").count() == 0
     export.write_sections(spark, str(tmp_path / "out"), {"records": spark.range(3)}, {"version": 1})
     assert spark.read.json(str(tmp_path / "out/records")).count() == 3
     assert '"sections": ["records"]' in spark.read.text(str(tmp_path / "out/manifest")).first().value

@@ -122,3 +122,14 @@ def test_capabilities(spark):
     a, b = navigate.capabilities(df, ["k"]).orderBy("k").collect()
     assert [tuple(c) for c in a.capabilities] == [("download", "받기 표", "visible-official-ui-control")]
     assert (a.structured_export, a.report_output) == (False, True) and (b.capabilities, b.structured_export, b.report_output) == ([], False, False)
+
+
+def test_nothing_is_lost_behind_a_cut(spark):
+    """Tables that differ after thousands of characters are records of their own, with their whole evidence; the older limits are parameters."""
+    long = ["칸" * 50] * 100
+    rows = lambda end: [["모집단위", *long, end]]
+    page = {"url": "https://x.kr/ucp/uvt/uni/univDetailSelection.do?searchSyr=2026&unvCd=7", "navigationKey": "n", "tables": [{"caption": "", "rows": rows("a")}, {"caption": "", "rows": rows("b")}, {"caption": "", "rows": rows("a")}]}
+    df = snapshots(spark, page)
+    got = pages.detail_records(df, ["navigationKey"]).collect()
+    assert len(got) == 2 and len({r.sourceRowFingerprint for r in got}) == 2 and all(len(r.rawEvidence) > 5000 for r in got)
+    assert [len(r.rawEvidence) for r in pages.detail_records(df, ["navigationKey"], evidence=100).collect()] == [100, 100]
