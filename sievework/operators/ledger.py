@@ -36,10 +36,13 @@ def mission_choice(targets: DataFrame, group: list[str], order: tuple[str, ...],
 
     targets: group, target_id, identity_key, lane, state, priority, preferred (boolean).
     """
-    done = F.max(F.col("state") == "confirmed").over(W.partitionBy(*group, "identity_key", "lane"))
-    t = targets.withColumn("lane_missing", ~done).filter(F.col("state").isin(*open_states))
-    best = W.partitionBy(*group).orderBy(F.coalesce("preferred", F.lit(False)).desc(), F.desc("lane_missing"), lane_rank(F.col("lane"), order), F.col("priority").desc_nulls_last(), "target_id")
-    return t.withColumn("_n", F.row_number().over(best)).filter("_n = 1").select(*group, "target_id", "identity_key", "lane", "priority", "lane_missing")
+    lane = [*group, "identity_key", "lane"]
+    done = targets.filter("state = 'confirmed'").select(*lane).distinct().withColumn("_done", F.lit(True))
+    t = targets.filter(F.col("state").isin(*open_states)).join(done, lane, "left").withColumn("lane_missing", F.col("_done").isNull())
+    # the first in order is a minimum, which combines before the exchange
+    place = F.struct(~F.coalesce("preferred", F.lit(False)), ~F.col("lane_missing"), lane_rank(F.col("lane"), order), F.col("priority").isNull(), -F.col("priority"), "target_id")
+    best = t.groupBy(*group).agg(F.min_by(F.struct("target_id", "identity_key", "lane", "priority", "lane_missing"), place).alias("_b"))
+    return best.select(*group, "_b.*")
 
 
 def breakdown(records: DataFrame, by: list[str], kind: str, year: str) -> DataFrame:

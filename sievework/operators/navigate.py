@@ -29,6 +29,18 @@ LANES = (
     ("reference", 35, "/early/|/univ-major/|/univ-entrance-info/", None),
 )
 UNKNOWN_LANE = ("unknown", 5)
+# The lane of a page type, of a control's label and kind, and the lane that a label hints at; of patterns the first that fits.
+REFERENCE = "reference"
+PAGE_LANES = {
+    "early-storage": "saved-application", "prediction-report": "current-prediction", "mock-support-report": "mock-support", "actual-admit-report": "actual-admit", "university-admission-info": "university-result",
+    "score-calc-report": "score-analysis", "sat-minimum": "score-analysis", "admission-strategy": "strategy", "admission-knowledge": "strategy",
+}
+LABEL_LANES = (
+    ("actual-admit", r"실제\s*합격자|과거\s*입시결과"), ("mock-support", r"모의\s*지원|지원자\s*분포"), ("current-prediction", r"합격\s*예측|합격\s*안정성"), ("score-analysis", r"성적\s*분석|성적\s*산출|환산\s*점수"),
+    ("university-result", r"대학\s*정보|전형\s*정보|학과\s*정보|입시\s*결과|경쟁률"), ("strategy", r"입시\s*전략|입시\s*지식"),
+)
+HINT_LANES = (("actual-admit", r"실제\s*합격자|과거\s*입시결과"), ("mock-support", r"모의\s*지원|지원자\s*분포"), ("score-analysis", r"성적\s*(?:분석|산출)|환산\s*점수"), ("current-prediction", r"합격\s*예측|합격\s*안정성"))
+SAVED_ORIGIN, SAVED_LABEL = "/four-year-university/library", r"^리포트(?:\s*보기)?$"
 # Labels that change something are never followed, of the others only those that read.
 UNSAFE_LABEL = r"(?i)원서\s*접수|결제|구매|저장|삭제|탈퇴|로그아웃|회원정보|수정|등록|전송|제출|확정|취소|신청|지원하기|장바구니|쿠폰|동의"
 READ_LABEL = (
@@ -47,6 +59,31 @@ def lane(url: Column, label: Column) -> Column:
     return F.coalesce(*(F.when(fits(p, t), of(name, base)) for name, base, p, t in LANES), of(*UNKNOWN_LANE))
 
 
+def _ladder(text: Column, rules: tuple[tuple[str, str], ...]) -> Column:
+    return F.coalesce(*(F.when(text.rlike(p), name) for name, p in rules), F.lit(REFERENCE))
+
+
+def page_lane(page_type: Column) -> Column:
+    """The lane that a page of a type belongs to."""
+    return F.coalesce(F.create_map(*(F.lit(x) for kv in PAGE_LANES.items() for x in kv))[page_type], F.lit(REFERENCE))
+
+
+def label_lane(label: Column, kind: Column) -> Column:
+    """The lane that a control's label and kind speak of."""
+    return _ladder(F.concat(T.text_of(label), F.lit(" "), T.text_of(kind)), LABEL_LANES)
+
+
+def lane_hint(label: Column) -> Column:
+    return _ladder(T.text_of(label), HINT_LANES)
+
+
+def lane_at_origin(label: Column, kind: Column, origin: Column, page_type: Column) -> Column:
+    """As the label says; a bare report label on a page of saved applications leads to the prediction."""
+    saved = F.coalesce(page_type == "early-storage", F.lit(False)) | F.contains(T.text_of(origin), F.lit(SAVED_ORIGIN))
+    said = label_lane(label, kind)
+    return F.when(said != REFERENCE, said).when(saved & T.squeeze(T.text_of(label)).rlike(SAVED_LABEL), "current-prediction").otherwise(REFERENCE)
+
+
 def priority(url: Column, label: Column) -> Column:
     at, text = lane(url, label), F.concat_ws(" ", T.text_of(url), T.text_of(label))
     more = F.when(text.rlike("2027|수시|학생부교과|학생부종합|지역인재|면접"), 4).otherwise(0) + F.when(text.rlike(r"실제합격자|과거\s*3개년|입시결과|합격예측\s*리포트|모의지원\s*리포트"), 8).otherwise(0)

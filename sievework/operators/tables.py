@@ -12,19 +12,23 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def _pick(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    by = W.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(by)).filter("_n = 1").drop("_n")
+def _pick(df: DataFrame, keys: list[str], order: list[str], best) -> DataFrame:
+    """A row a key by an aggregate, which combines before the exchange: no task gets all rows of a hot key."""
+    rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.distinct()
+    row = best(F.struct(*(F.col(f"`{c}`") for c in rest)), F.struct(*order))
+    return df.groupBy(*keys).agg(row.alias("_row")).select(*keys, "_row.*").select(*(F.col(f"`{c}`") for c in df.columns))
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row a key: the first in ``order`` (a conflict is ignored)."""
-    return _pick(df, keys, [F.col(c).asc() for c in order])
+    return _pick(df, keys, order, F.min_by)
 
 
 def keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row a key: the last in ``order`` (a conflict replaces)."""
-    return _pick(df, keys, [F.col(c).desc() for c in order])
+    return _pick(df, keys, order, F.max_by)
 
 
 latest = keep_last

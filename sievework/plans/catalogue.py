@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import checkpoints, collection, desk, evidence, ledgers, readings
+from . import checkpoints, collection, desk, evidence, ladders, ledgers, readings
 
 
 def queries() -> dict:
-    return checkpoints.R.queries | evidence.R.queries | ledgers.R.queries | collection.R.queries | readings.R.queries | desk.R.queries
+    return checkpoints.R.queries | evidence.R.queries | ledgers.R.queries | collection.R.queries | readings.R.queries | desk.R.queries | ladders.R.queries
 
 
 def oracle_sql() -> dict[str, str]:
-    return checkpoints.R.sql | evidence.R.sql | ledgers.R.sql | collection.R.sql | readings.R.sql | desk.R.sql
+    return checkpoints.R.sql | evidence.R.sql | ledgers.R.sql | collection.R.sql | readings.R.sql | desk.R.sql | ladders.R.sql
