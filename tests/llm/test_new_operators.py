@@ -134,3 +134,12 @@ def test_bands_take_junk_and_leave_prose(spark):
     assert all(got[i].kept for i, *_ in prose)
     assert not any(got[i].kept for i, *_ in noise) and all(got[i].perplexity > got[i].high for i, *_ in noise)
     assert not got[2000].kept and not got[2000].base_failed and got[2000].perplexity < got[2000].low
+
+
+def test_good_documents_stay(spark):
+    """Of labelled good documents that pass the plain rules nearly all are kept, of bad ones fewer."""
+    at = f"{DATA}/sf0.01"
+    labels = spark.read.parquet(f"{at}/labels.parquet")
+    got = queries.op13_quality_rules(spark, at).filter("not base_failed").join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()
+    kept = {r.quality: r.kept for r in got}
+    assert kept[1] > 0.97 and kept[0] < 0.75

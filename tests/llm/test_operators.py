@@ -290,6 +290,22 @@ def test_classifiers_on_held_out_labels(spark, query, column, folds, out, least)
     assert held_out_auc(got, spark.read.parquet(f"{at}/labels.parquet"), column) > least
 
 
+def test_an_example_has_no_vote_on_itself(spark):
+    """A toxic example without a like is scored as if it weren't one; its copy under another id meets it."""
+    clean = [(i, f"plain words of number n{i} and n{i + 1} about w{i % 7}") for i in range(1, 60)]
+    odd = "grim grum grom words of its own kind grim grum"
+    docs = clean + [(101, odd), (102, odd.replace("own", "other")), (500, odd)]
+    labels = [(i, 0) for i, _ in clean] + [(101, 1), (102, 1)]
+    fold = lambda i: brute.zlib.crc32(str(i).encode()) % 4
+    ids = iter([i for i in range(1000, 2000) if fold(i) != 2])
+    new = {i: next(ids) for i, _ in labels}
+    df = spark.createDataFrame([(new.get(i, i), t) for i, t in docs], "doc_id long, text string")
+    marks = spark.createDataFrame([(new[i], y) for i, y in labels], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.toxicity(df, marks).collect()}
+    assert new[101] not in got[new[101]].evidence and got[new[101]].evidence[0] == new[102]
+    assert set(got[500].evidence[:2]) == {new[101], new[102]} and got[500].score > 0.5
+
+
 def test_classifier_edges(spark, edge, none):
     labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(12)] + [(None, 1, 1), (4, None, None), (4, 0, 0)], "doc_id long, quality int, toxic int")
     for run in (quality.quality, toxicity.toxicity):
