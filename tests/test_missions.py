@@ -184,7 +184,7 @@ def test_recovery_versions(spark, tmp_path):
         from sievework.operators import store as S
 
         class Bare:
-            sparkContext = type("C", (), {"getCheckpointDir": staticmethod(lambda: None)})  # noqa: N815
+            sparkContext = type("C", (), {"getCheckpointDir": staticmethod(lambda: None), "master": "spark://host:7077"})  # noqa: N815
             conf = type("F", (), {"get": staticmethod(lambda *_: None)})
 
         S.shared_folder(Bare)
