@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics as M
 from ..operators.extract import PREDICTION_LABEL
-from .registry import Registry, table
+from .registry import Registry, spread, table
 
 R = Registry()
 
@@ -49,7 +49,7 @@ _SAID = f"nullif(trim(regexp_extract(s, '{_sql(M.MINIMUM)}', 1)), '') AS minimum
 
 
 def _reports(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select("p_partkey", "p_size", F.expr(_TEXT.replace("VARCHAR", "STRING")).alias("text"))
+    return spread(table(spark, d, "part").select("p_partkey", "p_size"), "p_partkey").select("p_partkey", "p_size", F.expr(_TEXT.replace("VARCHAR", "STRING")).alias("text"))
 
 
 @R.add(f"WITH {_REPORTS} SELECT p_partkey, {_SAID}, {_rules_sql(M.PREDICTION)} FROM r")
