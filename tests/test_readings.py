@@ -30,3 +30,12 @@ def test_predictions_seek_each_pattern_once(spark):
     assert (tuple(b.metrics.capacity), b.minimum, b.prediction_label) == ((15.0, "card"), "충족", None) and not any(c.metrics) and c.minimum is None
     both = metrics.predictions(texts, "t").select("metrics", metrics.first_found(F.col("t"), metrics.PREDICTION).alias("m")).collect()
     assert all(r.metrics == r.m for r in both)
+
+
+def test_summaries_seek_each_pattern_once(spark):
+    """Also where pages without any value are left out."""
+    text = plan(spark, readings.summary_metrics(spark, D))
+    assert {p: text.count(f", {p}, 1)") for ps in metrics.SUMMARY.values() for _, p in ps} == {p: 1 for ps in metrics.SUMMARY.values() for _, p in ps}
+    none = [F.lit(None).cast("string").alias(c) for c in ("scope", "mission_key", "mission_confidence", "university", "department", "admission")]
+    texts = spark.createDataFrame([("모의지원자 수 12",), ("없음",), (None,), ("소신지원",)], "t string").select("t", *none)
+    assert sorted((r.t, r.prediction_label, r.metrics.mock_applicants and r.metrics.mock_applicants.value) for r in metrics.summaries(texts, "t").collect()) == [("모의지원자 수 12", None, 12.0), ("소신지원", "소신지원", None)]
