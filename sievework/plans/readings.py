@@ -130,6 +130,7 @@ SELECT p_partkey, {', '.join(f"CASE WHEN enough THEN {n}_a ELSE coalesce({n}_a,
 def page_contexts(spark: SparkSession, d: str) -> DataFrame:
     array = lambda e: F.array(F.expr(e))
     tables = F.array(F.struct(F.lit("표").alias("caption"), F.array(F.array(F.lit("값"), F.expr(_CELL))).alias("rows")))
-    pages = table(spark, d, "part").select("p_partkey", array(_SELECTION).alias("selection"), F.expr(_TITLE).alias("title"), F.array().cast("array<string>").alias("context"), array(_BLOCK).alias("blocks"), tables.alias("tables"))
+    parts = spread(table(spark, d, "part").select("p_partkey", "p_size"), "p_partkey")
+    pages = parts.select("p_partkey", array(_SELECTION).alias("selection"), F.expr(_TITLE).alias("title"), F.array().cast("array<string>").alias("context"), array(_BLOCK).alias("blocks"), tables.alias("tables"))
     got = M.inferred_contexts(pages)
     return got.select("p_partkey", *(F.col(f"{s}.{n}").alias(n if s == "inferred" else f"{n}_source") for n in ("university", "department", "admission", "year") for s in ("inferred", "sources")))

@@ -39,3 +39,17 @@ def test_summaries_seek_each_pattern_once(spark):
     none = [F.lit(None).cast("string").alias(c) for c in ("scope", "mission_key", "mission_confidence", "university", "department", "admission")]
     texts = spark.createDataFrame([("모의지원자 수 12",), ("없음",), (None,), ("소신지원",)], "t string").select("t", *none)
     assert sorted((r.t, r.prediction_label, r.metrics.mock_applicants and r.metrics.mock_applicants.value) for r in metrics.summaries(texts, "t").collect()) == [("모의지원자 수 12", None, 12.0), ("소신지원", "소신지원", None)]
+
+
+def test_contexts_are_read_once_from_each_text(spark):
+    """Each pattern occurs twice in the plan: for what is near, and for the page's whole text, which is only made where that leaves something open."""
+    got = readings.page_contexts(spark, D)
+    text = plan(spark, got)
+    patterns = (*metrics._UNIVERSITY, metrics._UNIT_LABEL, metrics._UNIT, metrics._TRACK_LABEL, metrics._TRACK, metrics._YEAR)
+    assert [text.count(f", {p}, 1)") for p in patterns] == [2] * len(patterns)
+    assert got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spec = "selection array<string>, title string, context array<string>, blocks array<string>, tables array<struct<caption:string,rows:array<array<string>>>>"
+    pages = spark.createDataFrame([(["가나대학교"], "수학과 2026년", None, None, [("다라대학교 물리학과 2025년", [])]), ([" "], "2026년", None, ["가나대학교"], [(None, [["화학전공", "전형명: 일반 전형"]])])], spec)
+    a, b = metrics.inferred_contexts(pages).collect()
+    assert (tuple(a.inferred), tuple(a.sources)) == (("가나대학교", "물리학과", None, 2026), ("selection", "page", None, "selection"))
+    assert (tuple(b.inferred), tuple(b.sources)) == (("가나대학교", "화학전공", "일반 전형", 2026), ("selection", "page", "page", "selection"))
